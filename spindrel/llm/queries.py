@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import exact, sigtree
+from spindrel.llm import exact, sigtree, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.similar_groups(_table(spark, sf_dir, "documents"))
 
@@ -22,11 +26,32 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_decontamination": op2_suffix_decontamination,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op2_suffix_decontamination": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        item_starts AS (SELECT item_id, w, least(len(w), 8) AS k, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM item_starts),
+        sizes AS (SELECT DISTINCT k FROM windows),
+        doc_starts AS (SELECT row, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k),
+        found AS (
+            SELECT row, i, d.k, item_id
+            FROM (SELECT row, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM doc_starts) d
+            JOIN windows ON windows.s = d.s AND windows.k = d.k),
+        hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT row, i, k FROM found)) GROUP BY row),
+        named AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM found) GROUP BY row)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)""",
     "op4_signature_tree_join": r"""
         WITH RECURSIVE split AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
