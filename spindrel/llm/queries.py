@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import exact, sigtree, suffix
+from spindrel.llm import exact, sigtree, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_warc_histories": op10_warc_histories,
 }
 
 SQL: dict[str, str] = {
@@ -81,4 +86,11 @@ SQL: dict[str, str] = {
                    count(*) OVER (PARTITION BY text_sha256) AS group_size
             FROM rows)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
+    "op10_warc_histories": r"""
+        WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM payloads)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+        FROM firsts""",
 }
