@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import exact, sigtree, suffix, warc
+from spindrel.llm import exact, quality, sigtree, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_quality_scores": op8_quality_scores,
     "op10_warc_histories": op10_warc_histories,
 }
 
