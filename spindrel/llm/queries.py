@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrel.llm import exact, quality, sigtree, suffix, warc
+from spindrel.llm import exact, quality, sigtree, suffix, warc, wfst
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_wfst(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return wfst.tokenised(_table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model", with_ids=False)
+
+
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +42,7 @@ def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_wfst": op1_sentencepiece_wfst,
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
