@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrel.llm import exact, quality, sigtree, suffix, warc, wfst
+from spindrel.llm import exact, quality, rollup, sigtree, suffix, warc, wfst
+from spindrel.llm.common import scratch
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
+#: How the byte-level tokenizer splits a text before it merges, as its files prescribe.
+BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """All documents as one batch, delivered twice; the totals count it once."""
+    versions = {"byte_bpe_50k": ("ranks", rollup.rank_tokenizer(f"{tokenizers}/byte_bpe_50k.tiktoken"), BYTE_PATTERN), "words_v1": ("words", b"", "")}
+    ledger = rollup.Ledger(spark, scratch(spark, "ledger"), versions)
+    events = _table(spark, sf_dir, "documents").withColumn("op", F.lit(rollup.INSERT))
+    for _ in range(2):
+        ledger.commit("documents-1", events)
+    return ledger.totals()
+
+
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -46,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_decontamination": op2_suffix_decontamination,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_rollups": op6_token_rollups,
     "op8_quality_scores": op8_quality_scores,
     "op10_warc_histories": op10_warc_histories,
 }
