@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm import exact, quality, rollup, sigtree, suffix, warc, wfst
+from spindrel.llm import exact, hostpaths, quality, rollup, sigtree, suffix, warc, wfst
 from spindrel.llm.common import scratch
 
 #: Folder of the public tokenizers' files.
@@ -28,6 +28,10 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_host_path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostpaths.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.similar_groups(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_wfst": op1_sentencepiece_wfst,
     "op2_suffix_decontamination": op2_suffix_decontamination,
+    "op3_host_path_texts": op3_host_path_texts,
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_rollups": op6_token_rollups,
