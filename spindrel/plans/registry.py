@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from spindrel.plans import catalog, changes, ranking
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = ranking.QUERIES | catalog.QUERIES | changes.QUERIES
+SQL: dict[str, str] = ranking.SQL | catalog.SQL | changes.SQL
