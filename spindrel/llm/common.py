@@ -5,6 +5,7 @@ No function here collects rows of the corpus.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for the jobs that run inside: for long binary values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it has at most BROADCAST_ROWS rows; else as it is, for a shuffled join."""
     rows = df.count() if rows is None else rows

@@ -1,9 +1,11 @@
 """Set-similarity join on word shingles with signature trees; exact.
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class, so copies are never paired.
-2. Two sets that link share one of the first n - ceil(t n) + 1 tokens of each in any common order of tokens. A
-   sketch of all tokens (fixed size) puts frequent ones last. Tokens meet in buckets; sets that share one and have
-   comparable sizes fall into one block (a component of these candidate edges).
+2. In any common order of tokens, the first n - ceil(t n) + 1 tokens of two sets that link have at least
+   ceil(t / (1 + t) (m + n)) - ceil(t max(m, n)) + 1 in common. A sketch of all tokens (fixed size) puts frequent ones
+   last. Tokens meet in buckets, where pairs of comparable size are counted; a token of more than DENSE sets
+   joins them as a star instead. Pairs with enough counts, and stars, make blocks (components of these edges):
+   sets that link are in one block.
 3. Blocks are packed or cut into tiles of a bounded number of sets. In a tile, signature trees (nodes with OR-combined
    bitmaps and size ranges) are traversed in pairs; what the largest possible overlap leaves is verified exactly. A
    tile returns a forest of its links, never all pairs.
@@ -13,7 +15,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +23,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import UnionFind, attach, components, small_or_shuffled, staged, text_bytes, without
+from spindrel.llm.common import UnionFind, attach, batch_rows, components, small_or_shuffled, staged, text_bytes, without
 from spindrel.llm.words import shingle_sets
 
-#: Counters of the token sketch, and the blocks in which it is added up.
-SKETCH, BLOCKS = 1 << 20, 64
+#: Bits of the finest token sketch, blocks in which it is added up (bits), and tokens that a task holds for it. The
+#: sketch is folded to LOAD tokens a counter: 1 MB to 64 MB come to the driver and go to the tasks.
+FINEST, BLOCK_BITS, SKETCHED, LOAD = 26, 6, 4_000_000, 16
 #: Postings that a task holds before it hands them on, and those that a bucket is meant to hold.
 FLUSH, BUCKET = 1_500_000, 500_000
 #: Sets of a tile's side: a share of all candidates within these bounds; and its tokens.
-TILE_LEAST, TILE_MOST, TILE_TOKENS = 256, 4096, 4_000_000
+TILE_LEAST, TILE_MOST, TILE_TOKENS = 256, 2048, 1_500_000
 #: Bits of a signature, sets of a leaf, and children of a node.
 BITS, LEAF, FAN = 2048, 16, 8
 #: Words of an exact bit matrix row; beyond it pairs are verified one by one.
-MATRIX_WORDS = 2048
-_SIZE_BASE = np.log(1.06)
+MATRIX_WORDS = 1024
+#: Sets with a common token up to which their pairs are counted.
+DENSE = 32
+#: Pairs that a traversal holds at a time, rows and bytes of an Arrow batch of sets.
+FRONT, ROWS, BYTES = 1 << 19, 256, 4 << 20
 
 
 def _set_key(tokens: np.ndarray) -> int:
@@ -46,11 +52,11 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _scan(size: int):
-    """(doc_id, n, set_key) of each text; at a task's end, the counts of its tokens by sketch block."""
+    """(doc_id, n, set_key) of each text; in between, counts of the task's tokens by sketch block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.uint32)
         seen: set[int] = set()
+        held, waiting = [], 0
         for batch in batches:
             n, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, tokens in shingle_sets(*text_bytes(batch.column(1)), size):
@@ -59,29 +65,47 @@ def _scan(size: int):
                     keys[i] = _set_key(tokens)
                     if keys[i] not in seen:  # a copy in the same task counts once
                         seen.add(int(keys[i]))
-                        np.add.at(counts, (tokens >> np.uint64(44)).astype(np.int64), 1)
+                        held.append((tokens >> np.uint64(64 - FINEST)).astype(np.uint32))
+                        waiting += len(tokens)
+                        if waiting >= SKETCHED:
+                            yield from _sketched(held)
+                            held, waiting = [], 0
             yield _slim(batch.column(0), pa.array(n), pa.array(keys), None, None)
-        for k, part in enumerate(counts.reshape(BLOCKS, -1)):
-            if part.any():
-                yield _slim(pa.nulls(1, pa.int64()), pa.array([0]), pa.array([0]), k, zlib.compress(part.tobytes(), 1))
+        if held:
+            yield from _sketched(held)
 
     return run
 
 
+def _sketched(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Steps between the counters in use, their counts and the first of them, block by block."""
+    place, count = np.unique(np.concatenate(held), return_counts=True)
+    inner = FINEST - BLOCK_BITS
+    cut = np.searchsorted(place >> inner, np.arange((1 << BLOCK_BITS) + 1))
+    for block, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if b > a:
+            at = place[a:b] & np.uint32((1 << inner) - 1)
+            packed = zlib.compress(np.r_[np.diff(at, prepend=at[:1]), count[a:b], at[:1]].astype(np.uint32).tobytes(), 1)
+            yield _slim(pa.nulls(1, pa.int64()), pa.array([0]), pa.array([0]), block, packed)
+
+
 def _slim(ids, n, keys, block, counts) -> pa.RecordBatch:
     m = len(n)
     return pa.RecordBatch.from_arrays([ids, n, keys, pa.array([block] * m, pa.int32()), pa.array([counts] * m, pa.binary())], names=["doc_id", "n", "set_key", "block", "counts"])
 
 
-def _levels(mean: float):
-    """Each sketch counter as a level, one byte: how many times its count doubles the mean."""
+def _levels(mean: float, fold: int):
+    """Each folded counter as a level, one byte: how many times its count doubles the mean."""
+    width = 1 << (FINEST - BLOCK_BITS - fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums.setdefault(block, np.zeros(SKETCH // BLOCKS, np.int64))
-                sums[block] += np.frombuffer(zlib.decompress(counts), np.uint32)
+                values = np.frombuffer(zlib.decompress(counts), np.uint32)
+                steps, number = values[: len(values) // 2], values[len(values) // 2 : -1]
+                at = (np.cumsum(steps, dtype=np.int64) + int(values[-1])) >> fold
+                sums[block] = sums.get(block, 0) + np.bincount(at, number, width)
         for block, total in sums.items():
             level = np.clip(np.log2(np.maximum(total, 1) / max(mean, 1)), 0, 15).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()])], names=["block", "levels"])
@@ -89,24 +113,24 @@ def _levels(mean: float):
     return run
 
 
-def _postings(size: int, percent: int, levels, buckets: int):
+def _postings(size: int, percent: int, levels, bits: int, buckets: int):
     """The prefix of each distinct set of the task, dealt to buckets: a row per bucket holds packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, int, int]] = []
         waiting = 0
         for batch in batches:
             for _, tokens in shingle_sets(*text_bytes(batch.column(1)), size):
                 if not len(tokens) or (key := _set_key(tokens)) in seen:
                     continue
                 seen.add(key)
-                order = (level[tokens >> np.uint64(44)].astype(np.uint64) << np.uint64(60)) | (tokens & np.uint64((1 << 60) - 1))
+                order = (level[tokens >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(60)) | (tokens & np.uint64((1 << 60) - 1))
                 p = len(tokens) - _needed(len(tokens), percent) + 1
                 if p < len(order):
                     order = np.partition(order, p - 1)[:p]
-                held.append((order, key, int(np.log(len(tokens)) / _SIZE_BASE)))
+                held.append((order, key, len(tokens)))
                 waiting += p
                 if waiting >= FLUSH:
                     yield from _dealt(held, buckets)
@@ -121,43 +145,69 @@ def _dealt(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     lengths = np.fromiter((len(x[0]) for x in held), np.int64, len(held))
     tokens = np.concatenate([x[0] for x in held])
     keys = np.repeat(np.fromiter((x[1] for x in held), np.int64, len(held)), lengths)
-    codes = np.repeat(np.fromiter((x[2] for x in held), np.uint8, len(held)), lengths)
+    sizes = np.repeat(np.fromiter((x[2] for x in held), np.uint32, len(held)), lengths)
     spot = (tokens & np.uint64(0xFFFFFFF)) % np.uint64(buckets)
     short = ((tokens >> np.uint64(28)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     order = np.argsort(spot, kind="stable")
-    spot, short, keys, codes = spot[order], short[order], keys[order], codes[order]
+    spot, short, keys, sizes = spot[order], short[order], keys[order], sizes[order]
     at = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1], True])
     for lo in range(0, len(at) - 1, 64):
         some = list(zip(at[lo : lo + 65][:-1].tolist(), at[lo : lo + 65][1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(spot[a]) for a, _ in some], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (short, keys, codes))], names=["bucket", "tokens", "set_keys", "sizes"]
+            [pa.array([int(spot[a]) for a, _ in some], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (short, keys, sizes))], names=["bucket", "tokens", "set_keys", "sizes"]
         )
 
 
 def _candidates(percent: int):
-    """Edges between sets of comparable size that share a token: each run of sizes is a star."""
-    gap = int(np.ceil(np.log(100 / percent) / _SIZE_BASE)) + 1
+    """Pairs (a, b) of comparable size with the number of tokens seen in common and the number needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.full(len(k) // 8, bucket, np.uint64), np.frombuffer(t, np.uint32), np.frombuffer(k, np.int64), np.frombuffer(s, np.uint8)) for batch in batches for bucket, t, k, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        parts = [(np.full(len(k) // 8, bucket, np.uint64), np.frombuffer(t, np.uint32), np.frombuffer(k, np.int64), np.frombuffer(s, np.uint32)) for batch in batches for bucket, t, k, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if not parts:
             return
-        bucket, token, keys, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket, token, keys, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         token = (bucket << np.uint64(32)) | token
         order = np.argsort(token, kind="stable")
-        token, keys, codes = token[order], keys[order], codes[order]
+        token, keys, sizes = token[order], keys[order], sizes[order]
         same = token[1:] == token[:-1]
         live = np.r_[same, False] | np.r_[False, same]
-        token, keys, codes = token[live], keys[live], codes[live].astype(np.int64)
-        order = np.lexsort((keys, codes, token))
-        token, keys, codes = token[order], keys[order], codes[order]
+        token, keys, sizes = token[live], keys[live], sizes[live].astype(np.int64)
+        order = np.lexsort((keys, sizes, token))
+        token, keys, sizes = token[order], keys[order], sizes[order]
+        fresh = np.ones(len(token), bool)  # copies from several tasks
+        fresh[1:] = (token[1:] != token[:-1]) | (keys[1:] != keys[:-1])
+        token, keys, sizes = token[fresh], keys[fresh], sizes[fresh]
         if not len(token):
             return
-        head = np.r_[True, (token[1:] != token[:-1]) | (codes[1:] - codes[:-1] > gap)]
-        first = keys[np.flatnonzero(head)][np.cumsum(head) - 1]
-        edges = np.unique(np.stack([first, keys], 1)[first != keys], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+        head = np.r_[True, token[1:] != token[:-1]]
+        members = np.diff(np.r_[np.flatnonzero(head), len(token)])[np.cumsum(head) - 1]
+        dense = members > DENSE
+        # Stars: sizes in order, a new one wherever the next set is too large for all before it.
+        head |= np.r_[True, percent * sizes[1:] > 100 * sizes[:-1]]
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        at = np.flatnonzero(dense & (first != np.arange(len(token))))
+        pairs = [np.unique(np.stack([keys[first[at]], keys[at], np.zeros_like(at), np.ones_like(at)], 1), axis=0)]
+        at = np.flatnonzero(~dense)
+        x, y = [], []
+        for step in range(1, DENSE):
+            at = at[at + step < len(token)]
+            at = at[(token[at + step] == token[at]) & (percent * sizes[at + step] <= 100 * sizes[at])]
+            if not len(at):
+                break
+            x.append(at)
+            y.append(at + step)
+        if x:
+            x, y = np.concatenate(x), np.concatenate(y)
+            needed = -(-percent * (sizes[x] + sizes[y]) // (100 + percent)) + percent * sizes[y] // -100 + 1
+            swap = keys[x] > keys[y]
+            both = np.stack([np.where(swap, keys[y], keys[x]), np.where(swap, keys[x], keys[y])], 1)
+            order = np.lexsort((both[:, 1], both[:, 0]))
+            both, needed = both[order], needed[order]
+            cut = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(1)])
+            pairs.append(np.column_stack([both[cut], needed[cut], np.diff(np.r_[cut, len(both)])]))
+        for some in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, c]).astype(np.int64)) for c in range(4)], names=["a", "b", "needed", "seen"])
 
     return run
 
@@ -173,12 +223,19 @@ def _full_sets(size: int):
                 if len(tokens) and _set_key(tokens) == wanted[i]:
                     rows.append(i)
                     sets.append(tokens.tobytes())
-            kept = batch.select(["set_key", "root", "chunk"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=["set_key", "root", "chunk", "tokens"])
+                if len(rows) and (len(rows) == ROWS or sum(map(len, sets)) >= BYTES):
+                    yield _taken(batch, rows, sets)
+                    rows, sets = [], []
+            yield _taken(batch, rows, sets)
 
     return run
 
 
+def _taken(batch: pa.RecordBatch, rows: list[int], sets: list[bytes]) -> pa.RecordBatch:
+    kept = batch.select(["set_key", "root", "chunk"]).take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=["set_key", "root", "chunk", "tokens"])
+
+
 class SignatureTree:
     """Levels of nodes over sets that are sorted by block and size; level 0 has a node for each set."""
 
@@ -206,9 +263,9 @@ def dual_traversal(tree: SignatureTree, percent: int, cross: int | None = None)
     work = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while work:
         level, i, j = work.pop()
-        if len(i) > 40_000:
-            work += [(level, i[:40_000], j[:40_000]), (level, i[40_000:], j[40_000:])]
-            continue
+        if len(i) > FRONT // 16:
+            work += [(level, i[FRONT // 16 :], j[FRONT // 16 :])]
+            i, j = i[: FRONT // 16], j[: FRONT // 16]
         bits, low, high, slack, first, last = tree.levels[level]
         ok = (first[i] <= last[j]) & (first[j] <= last[i]) & (percent * low[i] <= 100 * high[j]) & (percent * low[j] <= 100 * high[i])
         i, j = i[ok], j[ok]
@@ -221,12 +278,14 @@ def dual_traversal(tree: SignatureTree, percent: int, cross: int | None = None)
             continue
         fan, below = LEAF if level == 1 else FAN, len(tree.levels[level - 1][1])
         step = np.arange(fan)
-        ii = np.repeat((i[:, None] * fan + step), fan, axis=1).ravel()
-        jj = np.tile((j[:, None] * fan + step), (1, fan)).ravel()
-        ok = (ii < below) & (jj < below) & (ii <= jj)
-        if cross is not None and level == 1:
-            ok &= (ii < cross) & (jj >= cross)
-        work.append((level - 1, ii[ok], jj[ok]))
+        for at in range(0, len(i), FRONT // fan**2):
+            some = slice(at, at + FRONT // fan**2)
+            ii = np.repeat((i[some, None] * fan + step), fan, axis=1).ravel()
+            jj = np.tile((j[some, None] * fan + step), (1, fan)).ravel()
+            ok = (ii < below) & (jj < below) & (ii <= jj)
+            if cross is not None and level == 1:
+                ok &= (ii < cross) & (jj >= cross)
+            work.append((level - 1, ii[ok], jj[ok]))
 
 
 def tile_links(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int, cross: int | None = None) -> list[tuple[int, int]]:
@@ -238,8 +297,8 @@ def tile_links(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], perc
     for i, j, most in dual_traversal(SignatureTree(sets, roots), percent, cross):
         order = np.argsort(-most / (n[i] + n[j]), kind="stable")  # likely links first: what they join is skipped
         i, j = i[order], j[order]
-        for at in range(0, len(i), 1024):
-            pairs = [(x, y) for x, y in zip(i[at : at + 1024].tolist(), j[at : at + 1024].tolist(), strict=True) if union.find(x) != union.find(y)]
+        for at in range(0, len(i), 512):
+            pairs = [(x, y) for x, y in zip(i[at : at + 512].tolist(), j[at : at + 512].tolist(), strict=True) if union.find(x) != union.find(y)]
             if not pairs:
                 continue
             x, y = np.array(pairs).T
@@ -310,19 +369,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = staged(docs.mapInArrow(_scan(size), "doc_id long, n long, set_key long, block int, counts binary"), "sets")
     slim = scanned.where("block is null").select("doc_id", "n", "set_key")
     rows, tokens = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # The sketch has a fixed size: SKETCH bytes come to the driver and go to the tasks, whatever the input.
-    levels = bytearray(SKETCH)
-    width = SKETCH // BLOCKS
-    for block, part in scanned.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_levels(tokens / SKETCH), "block int, levels binary").collect():
+    fold = max(0, FINEST - max(20, int(np.ceil(np.log2(max(1, tokens) / LOAD)))))
+    bits = FINEST - fold
+    width = 1 << (bits - BLOCK_BITS)
+    levels = bytearray(1 << bits)
+    for block, part in scanned.where("block is not null").select("block", "counts").repartition(1 << BLOCK_BITS, "block").mapInArrow(_levels(tokens / (1 << bits), fold), "block int, levels binary").toLocalIterator():
         levels[block * width : (block + 1) * width] = part
     table = spark.sparkContext.broadcast(bytes(levels))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens * (1 - percent / 100) / BUCKET) + 1)
-    postings = docs.mapInArrow(_postings(size, percent, table, buckets), "bucket long, tokens binary, set_keys binary, sizes binary")
-    edges = postings.repartition(buckets, "bucket").mapInArrow(_candidates(percent), "a long, b long")
+    postings = docs.mapInArrow(_postings(size, percent, table, bits, buckets), "bucket long, tokens binary, set_keys binary, sizes binary")
+    pairs = postings.repartition(buckets, "bucket").mapInArrow(_candidates(percent), "a long, b long, needed long, seen long")
+    edges = pairs.groupBy("a", "b").agg(F.min("needed").alias("needed"), F.sum("seen").alias("seen")).where("seen >= needed").select("a", "b")
     blocks = components(edges, "blocks")
     classes = staged(slim.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
     live = staged(classes.join(blocks.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "n", "root"), "live")
-    links = _block_links(docs, live, size, percent)
+
+    def sets(spots: DataFrame, rows: int) -> DataFrame:
+        return docs.join(small_or_shuffled(spots, rows), "doc_id").select("text", "set_key", "root", "chunk").mapInArrow(_full_sets(size), "set_key long, root long, chunk long, tokens binary")
+
+    links = block_links(live.withColumnRenamed("least", "doc_id"), ["doc_id"], sets, percent)
     grouped = staged(classes.join(components(links, "links").withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "root"), "grouped")
     heads = grouped.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("members"))
     total = grouped.count()
@@ -331,8 +396,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return attach(slim.where("n > 0"), named, "set_key", "copies", rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _block_links(docs: DataFrame, live: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between the sets of each block; live: set_key, least (a doc_id that has the set), n, root."""
+def block_links(live: DataFrame, place: list[str], sets: Callable[[DataFrame, int], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) between the sets of each block; a written table.
+
+    live has set_key, n (its size), root (its block) and the columns `place`, which tell where the set is;
+    sets(spots, rows) turns rows of set_key, root, chunk and place into set_key, root, chunk, tokens.
+    """
+    spark = live.sparkSession
     alive = live.count()
     side = min(TILE_MOST, max(TILE_LEAST, alive // 64))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(101 / percent)))).cast("long")  # a bit wide: rounding
@@ -345,7 +415,7 @@ def _block_links(docs: DataFrame, live: DataFrame, size: int, percent: int) -> D
     bands = staged(bands, "bands")
     cuts = placed.where("large").join(small_or_shuffled(bands), ["root", "band"]).withColumn("chunk", F.xxhash64("root", "band", F.pmod(F.xxhash64("set_key"), F.col("parts"))))
     whole = placed.where("not large").withColumn("chunk", F.pmod(F.xxhash64("root"), F.lit(packs)))
-    columns = ["set_key", F.col("least").alias("doc_id"), "root", "chunk"]
+    columns = ["set_key", *place, "root", "chunk"]
     spots = staged(whole.select(*columns).unionByName(cuts.select(*columns)), "spots")
     pieces = bands.select("root", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("root", "band", F.xxhash64("root", "band", F.col("part").cast("long")).alias("chunk"))
     other = pieces.select("root", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
@@ -353,10 +423,10 @@ def _block_links(docs: DataFrame, live: DataFrame, size: int, percent: int) -> D
     alone = spots.select("chunk", F.col("chunk").alias("chunk2")).distinct()
     tiles = alone.unionByName(across).withColumn("tile", F.xxhash64("chunk", "chunk2"))
     sides = staged(tiles.select("chunk", "tile", F.lit(0).alias("side")).unionByName(tiles.where("chunk <> chunk2").select(F.col("chunk2").alias("chunk"), "tile", F.lit(1).alias("side"))), "sides")
-    sets = docs.join(small_or_shuffled(spots, alive), "doc_id").select("text", "set_key", "root", "chunk").mapInArrow(_full_sets(size), "set_key long, root long, chunk long, tokens binary")
-    dealt = sets.join(small_or_shuffled(sides), "chunk").select("tile", "side", "root", "set_key", "tokens")
-    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), packs)
-    return dealt.repartition(count, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
+    dealt = sets(spots, alive).join(small_or_shuffled(sides), "chunk").select("tile", "side", "root", "set_key", "tokens")
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs)
+    with batch_rows(spark, ROWS):
+        return staged(dealt.repartition(count, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long"), "links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
