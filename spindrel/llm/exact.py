@@ -87,12 +87,13 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by doc_id: a doc_id of which one row stays and another goes keeps one row of each text that
     stays. Rows with a null doc_id stay.
     """
-    groups = staged(exact_groups(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")), "kept")
+    rows = staged(exact_groups(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).select("doc_id", "kept", "text_sha256"), "kept-rows")
+    groups = staged(rows.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")), "kept")
     kept = without(docs, groups.where("not some").select(F.col("doc_id").alias(id_col)), id_col)
     mixed = groups.where("some and not all").select(F.col("doc_id").alias(id_col))
     if mixed.isEmpty():
         return kept
-    again = exact_groups(docs.join(mixed, id_col, "left_semi"), id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("_sha")).distinct()
+    stays = rows.where("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("_sha")).distinct()
     row = Window.partitionBy(id_col, "_sha").orderBy(F.desc(F.length(text_col)))
-    some = docs.join(mixed, id_col, "left_semi").withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).join(again, [id_col, "_sha"]).withColumn("_n", F.row_number().over(row)).where("_n = 1").drop("_sha", "_n")
+    some = docs.join(mixed, id_col, "left_semi").withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).join(stays, [id_col, "_sha"]).withColumn("_n", F.row_number().over(row)).where("_n = 1").drop("_sha", "_n")
     return without(kept, mixed, id_col).unionByName(some.select(kept.columns))
