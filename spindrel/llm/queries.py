@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm import exact, hostpaths, quality, rollup, sigtree, suffix, warc, wfst
-from spindrel.llm.common import scratch
+from spindrel.llm import exact, hostpaths, parminhash, quality, rollup, sigtree, suffix, transcript, warc, wfst
+from spindrel.llm.common import scratch, staged
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -50,11 +50,21 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return ledger.totals()
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parminhash.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = staged(transcript.marked_lines(_table(spark, sf_dir, "conversations")), "transcripts")
+    turns = transcript.canonical_turns(transcript.recovered(lines, transcript.train(lines)))
+    return turns.select("conv_id", "turn_no", "role", "n_lines", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -66,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_signature_tree_join": op4_signature_tree_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_rollups": op6_token_rollups,
+    "op7_paragraph_minhash": op7_paragraph_minhash,
     "op8_quality_scores": op8_quality_scores,
+    "op9_transcript_turns": op9_transcript_turns,
     "op10_warc_histories": op10_warc_histories,
 }
 
