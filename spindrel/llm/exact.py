@@ -27,10 +27,9 @@ class MisraGries:
         self.k, self.counts = k, {}
 
     def add(self, values: list, numbers: list[int]) -> None:
-        counts = self.counts
         for value, n in zip(values, numbers, strict=True):
-            counts[value] = counts.get(value, 0) + n
-            if len(counts) >= 2 * self.k:
+            self.counts[value] = self.counts.get(value, 0) + n
+            if len(self.counts) >= 2 * self.k:
                 self.shrink()
 
     def shrink(self) -> None:
