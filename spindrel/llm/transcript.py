@@ -154,7 +154,7 @@ def _matrices(model):
         _, move, emission = model.value
         for (conv, seg), rows in _grouped(batches, 2):
             symbols = np.array([symbol(line) for _, line in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([seg], pa.int64()), pa.array([np.stack([segment_matrix(symbols, move, emission)]).tobytes()]), pa.array([int(symbols[0])])], names=["conv_id", "seg", "matrix", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([seg], pa.int64()), pa.array([segment_matrix(symbols, move, emission).tobytes()])], names=["conv_id", "seg", "matrix"])
 
     return run
 
@@ -239,10 +239,10 @@ def recovered(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]
         long = staged(many.select("conv_id").distinct(), "long")
         same = rows.conv_id.eqNullSafe(long.conv_id)
         inside = staged(rows.join(long, same, "left_semi"), "long-lines")
-        matrices = dealt(inside).mapInArrow(_matrices(shared), "conv_id long, seg long, matrix binary, first int")
+        matrices = dealt(inside).mapInArrow(_matrices(shared), "conv_id long, seg long, matrix binary")
         firsts = dealt(inside.where("seg = 0")).mapInArrow(_entered(shared), "conv_id long, entered binary")
         firsts = firsts.withColumnRenamed("conv_id", "c")
-        cuts = matrices.join(firsts, matrices.conv_id.eqNullSafe(firsts.c)).drop("c", "first").groupBy("conv_id").applyInPandas(_cuts(shared), "conv_id long, seg long, enter int, leave int")
+        cuts = matrices.join(firsts, matrices.conv_id.eqNullSafe(firsts.c)).drop("c").groupBy("conv_id").applyInPandas(_cuts(shared), "conv_id long, seg long, enter int, leave int")
         cuts = staged(cuts, "cuts").withColumnsRenamed({"conv_id": "c", "seg": "s"})
         placed = rows.join(cuts, rows.conv_id.eqNullSafe(cuts.c) & (rows.seg == cuts.s), "left").drop("c", "s")
         solved = dealt(placed).mapInArrow(_solved(shared), "conv_id long, seg long, line_no long, role string, begins boolean, line string")
