@@ -59,13 +59,14 @@ def sweep(rows: DataFrame) -> DataFrame:
     return _ratios(decide(slim.join(F.broadcast(grid)), F.col("threshold")).groupBy("step", "threshold").agg(*_counts()))
 
 
-def choose(rows: DataFrame) -> DataFrame:
+def choose(rows: DataFrame, strict: bool = True) -> DataFrame:
     """threshold and method: the middle of the gap if the classes are apart, else the first threshold with the best
-    F1, then the fewest false negatives. Both classes must be there."""
+    F1, then the fewest false negatives. If strict, both classes must be there."""
     stats = class_stats(rows)
-    seen = stats.first()
-    if not seen["dup_n"] or not seen["new_n"]:
-        raise DuplicateError("calibration needs duplicates and new listings")
+    if strict:
+        seen = stats.first()
+        if not seen["dup_n"] or not seen["new_n"]:
+            raise DuplicateError("calibration needs duplicates and new listings")
     best = sweep(rows).orderBy(F.desc("f1"), "fn", "step").limit(1).select(F.col("threshold").alias("best"))
     apart = F.col("separation") > 0
     return stats.join(F.broadcast(best)).select(F.when(apart, (F.col("dup_min") + F.col("new_max")) / 2).otherwise(F.col("best")).alias("threshold"), F.when(apart, "midpoint").otherwise("max_f1").alias("method"))

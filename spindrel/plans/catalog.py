@@ -96,7 +96,7 @@ def _evidence(spark, sf) -> DataFrame:
 
 def _decided(spark, sf) -> DataFrame:
     rows = _evidence(spark, sf)
-    return duplicates.decide(rows.join(F.broadcast(duplicates.choose(rows))), F.col("threshold"))
+    return duplicates.decide(rows.join(F.broadcast(duplicates.choose(rows, strict=False))), F.col("threshold"))
 
 
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
@@ -124,7 +124,7 @@ def dup_sweep(spark, sf):
 
 
 def dup_threshold(spark, sf):
-    return _rounded(duplicates.choose(_evidence(spark, sf)), "threshold")
+    return _rounded(duplicates.choose(_evidence(spark, sf), strict=False), "threshold")
 
 
 def dup_error_analysis(spark, sf):
