@@ -6,6 +6,7 @@ No function here collects rows of the corpus.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -101,6 +102,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back, at the end of a task: workers live on, and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` bytes each; a longer text stands alone."""
     at, n = 0, len(offsets) - 1

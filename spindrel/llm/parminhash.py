@@ -22,7 +22,7 @@ from spindrel.llm.sigtree import block_links
 BANDS, BAND_ROWS = 10, 3
 #: Shortest paragraph that can be a repeat, in words, and shortest run of them that goes.
 LEAST_WORDS, RUN_WORDS = 8, 50
-FLUSH, BUCKET = 1_500_000, 500_000
+FLUSH, BUCKET = 750_000, 500_000
 _A = np.random.default_rng(77).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(78).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 PARAGRAPHS = "doc_id long, paragraph int, words int, shingles int, set_key long"

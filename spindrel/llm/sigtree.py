@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class, so copies are never paired.
 2. In any common order of tokens, the first n - ceil(t n) + 1 tokens of two sets that link have at least
-   ceil(t / (1 + t) (m + n)) - ceil(t max(m, n)) + 1 in common. A sketch of all tokens (fixed size) puts frequent ones
+   ceil(t / (1 + t) (m + n)) - ceil(t max(m, n)) + 1 in common. A sketch of all tokens (of bounded size) puts frequent ones
    last. Tokens meet in buckets, where pairs of comparable size are counted; a token of more than DENSE sets
    joins them as a star instead. Pairs with enough counts, and stars, make blocks (components of these edges):
    sets that link are in one block.
@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import UnionFind, attach, batch_rows, components, small_or_shuffled, staged, text_bytes, without
+from spindrel.llm.common import UnionFind, attach, batch_rows, components, release, small_or_shuffled, staged, text_bytes, without
 from spindrel.llm.words import shingle_sets
 
 #: Bits of the finest token sketch, blocks in which it is added up (bits), and tokens that a task holds for it. The
 #: sketch is folded to LOAD tokens a counter: 1 MB to 64 MB come to the driver and go to the tasks.
-FINEST, BLOCK_BITS, SKETCHED, LOAD = 26, 6, 4_000_000, 16
+FINEST, BLOCK_BITS, SKETCHED, LOAD = 26, 6, 2_000_000, 16
 #: Postings that a task holds before it hands them on, and those that a bucket is meant to hold.
-FLUSH, BUCKET = 1_500_000, 500_000
+FLUSH, BUCKET = 750_000, 500_000
 #: Sets of a tile's side: a share of all candidates within these bounds; and its tokens.
 TILE_LEAST, TILE_MOST, TILE_TOKENS = 256, 2048, 1_500_000
 #: Bits of a signature, sets of a leaf, and children of a node.
@@ -73,6 +73,8 @@ def _scan(size: int):
             yield _slim(batch.column(0), pa.array(n), pa.array(keys), None, None)
         if held:
             yield from _sketched(held)
+        del held
+        release()
 
     return run
 
@@ -137,6 +139,8 @@ def _postings(size: int, percent: int, levels, bits: int, buckets: int):
                     held, waiting = [], 0
         if held:
             yield from _dealt(held, buckets)
+        del held
+        release()
 
     return run
 
@@ -351,6 +355,8 @@ def _tiles(percent: int):
                 rows.append((side, root, key, tokens))
         if rows:
             yield solve(rows)
+        del rows
+        release()
 
     return run
 

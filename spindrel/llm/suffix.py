@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import slices, staged, text_bytes, without
+from spindrel.llm.common import release, slices, staged, text_bytes, without
 from spindrel.llm.words import ALNUM, hashed
 
 #: Bytes of a shard.
-SHARD = 1 << 22
+SHARD = 1 << 20
 #: Bytes of item texts in one broadcast block.
 BLOCK_BYTES = 32 << 20
 MATCHES = "doc_id long, doc_word long, item_id string, item_word long, length long"
@@ -212,6 +212,7 @@ def _report(shared):
                 [batch.column(0).slice(i, j - i), pa.array(np.diff(firsts)), pa.array(np.diff(hit[firsts])), pa.array(n_items, pa.int64()), pa.array(sums), pa.array([n >= 2 for n in n_items])],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
+        release()
 
     return run
 

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import slices, text_bytes
+from spindrel.llm.common import release, slices, text_bytes
 
 SPACE = "▁"
 #: Words that a task remembers; the table is emptied when it is full.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: Types of pieces and kinds of models in the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -39,7 +39,7 @@ COLUMNS, TOGETHER = 192, 48
 #: Slots of the table of piece pairs, and words that are searched at a time.
 PAIRS, BATCH = 1 << 21, 8192
 #: Bytes of text that are encoded together.
-TEXT = 4 << 20
+TEXT = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -444,6 +444,7 @@ def _tokenised(shared, with_ids: bool):
                     new += [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([r[0] for r in rows])].astype(np.int32)), flat), pa.array([r[4] for r in rows], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *names])
+        release()
 
     return run
 
