@@ -121,15 +121,14 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node reachable. Both columns are long.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each step written to the shared folder;
-    the number of steps grows with the logarithm of the longest path. Before the first step, each task contracts
-    the edges it holds to a forest, so that a dense group arrives as a star.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until only stars are left, each step written to
+    the shared folder; the number of steps grows with the logarithm of the longest path. Before the first step, each
+    task contracts the edges it holds to a forest, so that a dense group arrives as a star.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long")
-    now, paths = _written(pairs.distinct(), name)
-    before = None
-    while True:
+    now, path = _written(pairs.distinct(), name)
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")).withColumn("m", F.least("a", "m"))
         least, least_path = _written(least, name)
@@ -138,19 +137,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = attach(both.where("b > a"), least, "a", "size", max(1, 2 * total)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large, large_path = _written(large, name)
         # Small star: each smaller neighbour, and the node itself, is joined with the least of them.
-        small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = small.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size"))
         low, low_path = _written(low, name)
-        step = attach(small, low, "a", "size", max(1, total)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        step = step.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after, path = _written(step, name)
-        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for x in (paths, least_path, large_path, low_path):
+        step = attach(large, low, "a", "size", max(1, total)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now, after = _written(step.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        for x in (path, least_path, large_path, low_path):
             remove(spark, x)
-        if before == tuple(mark):
-            break
-        before, now, paths = tuple(mark), after, path
-    return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        path = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour and no greater one, or no lesser one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)").isEmpty()
 
 
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
