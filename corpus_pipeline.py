@@ -29,7 +29,7 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go (operator 2)."""
+    """Documents with 8 or more words of a benchmark passage go, even if it is of one item only (operator 2)."""
     return suffix.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
