@@ -3,10 +3,15 @@
 Paragraphs are lines. Equal ones (by words) are one class. Classes that collide in a band of MinHash values make
 blocks; in a block, signature-tree tiles verify the exact Jaccard similarity of the word shingles. Each component of
 verified links keeps its first paragraph; where a run of repeated paragraphs of a document is long enough, it goes.
+
+Verbatim passages don't stop at lines. Every window of RUN_WORDS words has a MinHash value, its least shingle: copies
+of a window share it and its place. Windows whose least shingle occurs again anywhere are compared by their words;
+all but the first of equal ones are repeats, whose words go, wherever lines begin or end.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +20,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrel.llm import words as W
-from spindrel.llm.common import attach, components, slices, small_or_shuffled, staged, text_bytes
+from spindrel.llm.common import attach, components, release, slices, small_or_shuffled, staged, text_bytes
 from spindrel.llm.sigtree import block_links
 
 #: 10 bands of 3 values: of pairs with a similarity of 0.8, 1 - (1 - 0.8 ** 3) ** 10 = 0.9992 collide.
 BANDS, BAND_ROWS = 10, 3
 #: Shortest paragraph that can be a repeat, in words, and shortest run of them that goes.
 LEAST_WORDS, RUN_WORDS = 8, 50
+#: Words of a passage's shingles: shorter ones occur again by chance too often.
+SHINGLE = 16
 FLUSH, BUCKET = 750_000, 500_000
 _A = np.random.default_rng(77).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(78).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 PARAGRAPHS = "doc_id long, paragraph int, words int, shingles int, set_key long"
+SEGMENTS = "doc_id long, start long, windows long, keep_doc_id long, keep_start long, keep_paragraph long, copies long"
+REPEATS = "doc_id long, paragraph int, first_word int, words int, keep_doc_id long, keep_paragraph int, copies long"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def freed(step):
+    """The step of a task, whose memory goes back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        release()
+
+    return run
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,6 +184,215 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=names)
 
 
+def least_shingles(hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window of `size` words, its least shingle's first word, shingles); firsts: of each text."""
+    words = min(SHINGLE, size)
+    shingle = window_keys(hashes, np.arange(max(0, len(hashes) - words + 1)), words)
+    count = np.maximum(np.diff(firsts) - size + 1, 0)
+    start = np.repeat(firsts[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    width, reach = size - words + 1, 1
+    at = np.arange(len(shingle))
+    while reach < width:  # at[i]: the leftmost least one of the `reach` shingles from i on
+        step = min(reach, width - reach)
+        a, b = at[:-step], at[step:]
+        at, reach = np.where(shingle[b] < shingle[a], b, a), reach + step
+        if not len(at):
+            break
+    return start, at[start] if len(start) else start, shingle
+
+
+def window_keys(hashes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the words of each window."""
+    up, down = W._power(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return W.mix((sums[start + size] - sums[start]) * down[start])
+
+
+def _packed(spot: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns' values bucket by bucket, one row each."""
+    order = np.argsort(spot, kind="stable")
+    spot, columns = spot[order], [np.ascontiguousarray(c[order]) for c in columns]
+    cut = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1], True]) if len(spot) else np.zeros(1, int)
+    for lo in range(0, len(cut) - 1, 64):
+        some = list(zip(cut[lo : lo + 65][:-1].tolist(), cut[lo : lo + 65][1:].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([int(spot[a]) for a, _ in some], pa.int64()), *(pa.array([c[a:b].tobytes() for a, b in some], pa.binary()) for c in columns)], names=["bucket", *(f"c{k}" for k in range(len(columns)))])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
+    held: list[list[np.ndarray]] = [[] for _ in kinds]
+    for batch in batches:
+        for k, kind in enumerate(kinds):
+            held[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
+    return [np.concatenate(h) if h else np.zeros(0, kind) for h, kind in zip(held, kinds, strict=True)]
+
+
+def _flushed(parts: Iterator[tuple[np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    held, waiting = [], 0
+    for part in parts:
+        held.append(part)
+        waiting += len(part[0])
+        if waiting >= FLUSH:
+            yield from _packed(np.concatenate([s for s, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)])
+            held, waiting = [], 0
+    if held:
+        yield from _packed(np.concatenate([s for s, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)])
+
+
+def _anchors(size: int, buckets: int):
+    """Least shingles of all windows, with document and word, by bucket of the shingle."""
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets, W.CHUNK):
+                part = offsets[i : j + 1]
+                hashes, firsts = W.hashed(data[part[0] : part[-1]], part - part[0], W.SPACED)
+                _, at, shingle = least_shingles(hashes, firsts, size)
+                if len(at):
+                    at = np.unique(at)
+                    text = np.searchsorted(firsts, at, side="right") - 1
+                    yield shingle[at] % np.uint64(buckets), [shingle[at], ids[text + i], at - firsts[text]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _flushed(parts(batches))
+
+    return run
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of least shingles that occur at two places or more: the words of each document, packed."""
+    shingle, doc, word = _unpacked(batches, [np.uint64, np.int64, np.int64])
+    order = np.lexsort((word, doc, shingle))
+    shingle, doc, word = shingle[order], doc[order], word[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+    shingle, doc, word = shingle[fresh], doc[fresh], word[fresh]
+    same = shingle[1:] == shingle[:-1]
+    use = np.zeros(len(shingle), bool)
+    use[1:] |= same
+    use[:-1] |= same
+    doc, word = doc[use], word[use]
+    order = np.argsort(doc, kind="stable")
+    doc, word = doc[order], word[order].astype(np.int32)
+    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
+    for lo in range(0, len(cut) - 1, 4096):
+        some = cut[lo : lo + 4097]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array([word[a:b].tobytes() for a, b in zip(some[:-1].tolist(), some[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "places"])
+
+
+def _windows(size: int, buckets: int):
+    """Windows whose least shingle is at one of the document's places, by bucket of the shingle."""
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            data, offsets = text_bytes(batch.column("text"))
+            for k, places in enumerate(batch.column("places").to_pylist()):
+                one = offsets[k : k + 2]
+                _, _, hashes, lines = paragraphs(data[one[0] : one[1]], one - one[0])
+                start, at, shingle = least_shingles(hashes, np.array([0, len(hashes)]), size)
+                use = np.zeros(len(shingle), bool)
+                places = np.concatenate([np.frombuffer(x, np.int32) for x in places])
+                use[places[places < len(shingle)]] = True
+                start, at = start[use[at]], at[use[at]]
+                line = np.searchsorted(lines, start, side="right") - 1
+                yield shingle[at] % np.uint64(buckets), [window_keys(hashes, start, size), np.full(len(start), ids[k]), start.astype(np.int32), line.astype(np.int32)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _flushed(parts(batches))
+
+    return run
+
+
+def _segments(size: int):
+    """Of equal windows all but the first, and none that overlaps it; neighbours with one common shift or line are one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc, start, line = _unpacked(batches, [np.uint64, np.int64, np.int32, np.int32])
+        order = np.lexsort((start, doc, key))
+        key, doc, start, line = key[order], doc[order], start[order].astype(np.int64), line[order].astype(np.int64)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+        key, doc, start, line = key[fresh], doc[fresh], start[fresh], line[fresh]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        copies = np.diff(np.r_[head, len(key)])
+        head, copies = np.repeat(head, copies), np.repeat(copies, copies)
+        use = np.flatnonzero((doc != doc[head]) | (start >= start[head] + size))
+        order = use[np.lexsort((start[use], doc[use]))]
+        head, copies = head[order], copies[order]
+        doc, start, to, at, line = doc[order], start[order], doc[head], start[head], line[head]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (to[1:] != to[:-1]) | (start[1:] != start[:-1] + 1) | ((at[1:] != at[:-1] + 1) & (line[1:] != line[:-1]))
+        first = np.flatnonzero(new)
+        count = np.diff(np.r_[first, len(doc)])
+        most = np.maximum.reduceat(copies, first) if len(first) else first
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], start[first], count, to[first], at[first], line[first], most)], names=[c.split()[0] for c in SEGMENTS.split(", ")])
+
+    return run
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First word of each line of a text and the end, packed."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for i, j in slices(offsets, W.CHUNK):
+            part = offsets[i : j + 1]
+            text, _, _, firsts = paragraphs(data[part[0] : part[-1]], part - part[0])
+            cut = np.searchsorted(text, np.arange(j - i + 1)).tolist()
+            lines = [(firsts[a : b + 1] - firsts[a]).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lines, pa.binary())], names=["doc_id", "lines"])
+
+
+def _pieces(size: int):
+    """The words of each document's segments, each word once, cut where lines end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, lines, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "found")), strict=True):
+                lines = np.frombuffer(lines, np.int32)
+                passages: list[list[int]] = []  # first word, end, keeper's document, line and shift, copies
+                for x in sorted(found, key=lambda x: (x["start"], x["keep_doc_id"], x["keep_start"])):
+                    end, shift, now = x["start"] + x["windows"] + size - 1, x["keep_start"] - x["start"], passages[-1] if passages else None
+                    if now and x["start"] <= now[1] and x["keep_doc_id"] == now[2] and (shift == now[4] or x["keep_paragraph"] == now[3]):
+                        now[1], now[4], now[5] = max(now[1], end), shift, max(now[5], x["copies"])
+                    else:
+                        passages.append([x["start"], end, x["keep_doc_id"], x["keep_paragraph"], shift, x["copies"]])
+                done = 0
+                for first, end, to, line, _, copies in passages:
+                    a, end = max(first, done), min(end, int(lines[-1]))
+                    while a < end:
+                        at = int(np.searchsorted(lines, a, side="right")) - 1
+                        b = min(end, int(lines[at + 1]))
+                        rows.append((doc, at, a - int(lines[at]), b - a, to, line, copies))
+                        a = b
+                    done = max(done, end)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=[c.split()[0] for c in REPEATS.split(", ")])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """Rows as of repeats for all words of verbatim passages; docs has doc_id, not null, and text."""
+    run_words = max(run_words, 1)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 5
+    buckets = max(least, 2 * words // (run_words - min(SHINGLE, run_words) + 2) // BUCKET + 1)
+    anchors = docs.mapInArrow(freed(_anchors(run_words, buckets)), "bucket long, c0 binary, c1 binary, c2 binary").repartition(buckets, "bucket").mapInArrow(freed(_again), "doc_id long, places binary")
+    places = staged(anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "places")
+    size = F.expr("aggregate(places, 0L, (n, x) -> n + length(x) div 4)")
+    n, words = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    buckets = max(least, words * (run_words // 2) // BUCKET + 1)
+    windows = docs.join(small_or_shuffled(places, max(n, words // 4)), "doc_id").select("doc_id", "text", "places").mapInArrow(freed(_windows(run_words, buckets)), "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+    segments = windows.repartition(buckets, "bucket").mapInArrow(freed(_segments(run_words)), SEGMENTS)
+    found = staged(segments.groupBy("doc_id").agg(F.collect_list(F.struct(*[c.split()[0] for c in SEGMENTS.split(", ")[1:]])).alias("found")), "segments")
+    lines = docs.mapInArrow(freed(_lines), "doc_id long, lines binary")  # texts stay where they are
+    return lines.join(found, "doc_id").select("doc_id", "lines", "found").mapInArrow(freed(_pieces(run_words)), REPEATS)
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The paragraphs to remove: doc_id, paragraph (from 0), words, keep_doc_id, keep_paragraph, copies.
 
@@ -177,18 +406,18 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("paragraphs of fewer than 5 words have no shingles")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = staged(docs.mapInArrow(_rows(least_words), PARAGRAPHS), "paragraphs")
+    rows = staged(docs.mapInArrow(freed(_rows(least_words)), PARAGRAPHS), "paragraphs")
     total = rows.count()
     place = F.struct("doc_id", "paragraph")
     classes = staged(rows.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max("shingles").alias("n")), "classes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * BANDS // BUCKET + 1)
-    edges = docs.mapInArrow(_bands(least_words, buckets), "bucket long, bands binary, set_keys binary").repartition(buckets, "bucket").mapInArrow(_colliding, "a long, b long")
+    edges = docs.mapInArrow(freed(_bands(least_words, buckets)), "bucket long, bands binary, set_keys binary").repartition(buckets, "bucket").mapInArrow(freed(_colliding), "a long, b long")
     blocks = components(edges, "paragraph-blocks").withColumnRenamed("node", "set_key")
     live = staged(classes.join(blocks, "set_key").select("set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), F.col("n").cast("long").alias("n"), "root"), "live")
 
     def sets(spots: DataFrame, _: int) -> DataFrame:
         wanted = staged(spots.groupBy("doc_id").agg(F.collect_list(F.struct("paragraph", "set_key", "root", "chunk")).alias("wanted")), "wanted")
-        return docs.join(small_or_shuffled(wanted), "doc_id").select("text", "wanted").mapInArrow(_sets, "set_key long, root long, chunk long, tokens binary")
+        return docs.join(small_or_shuffled(wanted), "doc_id").select("text", "wanted").mapInArrow(freed(_sets), "set_key long, root long, chunk long, tokens binary")
 
     links = components(block_links(live, ["doc_id", "paragraph"], sets, percent), "paragraph-links").withColumnRenamed("node", "set_key")
     grouped = staged(classes.join(links, "set_key").select("set_key", "root", "first", "copies"), "grouped")
@@ -205,16 +434,49 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return runs.select("doc_id", "paragraph", "words", F.col("head.doc_id").alias("keep_doc_id"), F.col("head.paragraph").alias("keep_paragraph"), F.col("all").cast("long").alias("copies")).distinct()
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """The words to remove: doc_id, paragraph, first_word (from 0), words, keep_doc_id, keep_paragraph, copies.
+
+    All of repeated_paragraphs, with first_word 0. Of the lines that stay, the words of every run of run_words words or
+    more that occurs before, in an earlier document or earlier in this one and apart from it, go as well, a row for each
+    line; keep_paragraph is then the line in which the copy that stays begins, copies the number of
+    places. The passage may begin and end within lines, and lines may be broken elsewhere in the other copy.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    names = [c.split()[0] for c in REPEATS.split(", ")]
+    whole = staged(repeated_paragraphs(docs, percent=percent, least_words=least_words, run_words=run_words).withColumn("first_word", F.lit(0)).select(*names), "whole-lines")
+    parts = repeated_passages(docs, run_words).distinct()
+    return whole.unionByName(parts.join(whole.select("doc_id", "paragraph"), ["doc_id", "paragraph"], "left_anti"))
+
+
+def _without(line: str, gone: list[tuple[int, int]]) -> str | None:
+    """The line without the ranges (first word, words); None if no word is left."""
+    spans = [m.span() for m in _WORD.finditer(line)]
+    out, at = [], 0
+    for first, words in sorted(gone):
+        if first < len(spans):
+            out.append(line[at : spans[first][0]])
+            at = spans[first + words][0] if first + words < len(spans) else len(line)
+    kept = "".join([*out, line[at:]])
+    return (kept.rstrip() if at == len(line) else kept) if _WORD.search(kept) else None
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            drop = set(gone or ())
-            texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop) if drop else text)
+            drop: dict[int, list[tuple[int, int]]] = {}
+            for x in gone or ():
+                drop.setdefault(x["paragraph"], []).append((x["first_word"], x["words"]))
+            if drop and text is not None:
+                lines = (_without(x, drop[k]) if k in drop else x for k, x in enumerate(text.split("\n")))
+                text = "\n".join(x for x in lines if x is not None)
+            texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and text without the repeated paragraphs."""
-    gone = staged(repeated_paragraphs(docs, **options).groupBy("doc_id").agg(F.collect_list("paragraph").alias("gone")), "gone")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_shuffled(gone), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, text string")
+    """doc_id and text without the repeated words."""
+    gone = F.collect_list(F.struct("paragraph", "first_word", "words")).alias("gone")
+    gone = staged(repeats(docs, **options).groupBy("doc_id").agg(gone), "gone")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_shuffled(gone), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(freed(_cut), "doc_id long, text string")

@@ -51,7 +51,7 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parminhash.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    return parminhash.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

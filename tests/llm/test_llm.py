@@ -365,6 +365,41 @@ def test_repeated_paragraphs(spark):
     assert parminhash.repeated_paragraphs(docs(spark, [])).count() == 0
 
 
+def test_verbatim_passages_inside_and_across_lines(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 60, 4000).split()
+    inside = " ".join(passage)
+    across = "\n".join([" ".join(passage[:5]), " ".join(passage[5:30]), " ".join(passage[30:33]), " ".join(passage[33:])])
+    head, tail, other = (prose(rng, 40, 4000) for _ in range(3))
+    texts = [f"{prose(rng, 30, 4000)} {inside} {prose(rng, 30, 4000)}", f"{head} {inside.upper()} {tail}", f"{other}\n{across} {other}", " ".join(passage[:49]), " ".join(["again"] * 120)]
+    got = rows_of(parminhash.repeats(docs(spark, texts)), "doc_id", "paragraph", "first_word", "words", "keep_doc_id", "keep_paragraph")
+    assert got == [(1, 0, 40, 60, 0, 0), (2, 1, 0, 5, 0, 0), (2, 2, 0, 25, 0, 0), (2, 3, 0, 3, 0, 0), (2, 4, 0, 27, 0, 0), (4, 0, 50, 70, 4, 0)]
+    cut = dict(rows_of(parminhash.drop_repeats(docs(spark, texts)), "doc_id", "text"))
+    assert cut == {0: texts[0], 1: f"{head} {tail}", 2: f"{other}\n{other}", 3: texts[3], 4: " ".join(["again"] * 50)}
+
+
+def test_no_repeated_window_stays(spark):
+    folder, size = "/root/testdata/sf0.001", 50
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test data")
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    gone = collections.defaultdict(set)
+    texts = dict(rows_of(frame, "doc_id", "text"))
+    split = {d: [re.findall(r"[^\x20\x09-\x0D]+", x) for x in t.translate(LOWER).split("\n")] for d, t in texts.items()}
+    for doc, line, first, n in rows_of(parminhash.repeats(frame), "doc_id", "paragraph", "first_word", "words"):
+        at = sum(map(len, split[doc][:line])) + first
+        gone[doc] |= set(range(at, at + n))
+    seen, repeated = {}, 0
+    for doc in sorted(split):
+        flat = [w for x in split[doc] for w in x]
+        for i in range(len(flat) - size + 1):
+            to, at = seen.setdefault(" ".join(flat[i : i + size]), (doc, i))
+            if to != doc or i >= at + size:
+                repeated += 1
+                assert gone[doc] >= set(range(i, i + size))
+    assert repeated > 1000
+
+
 def test_paragraph_recall(spark):
     rng = random.Random(11)
     texts = []
