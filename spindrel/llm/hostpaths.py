@@ -1,7 +1,7 @@
 """HTML main-text extraction by consensus host paths.
 
-First pass: every page's containers are scored by the prose they hold; the page votes with the generalised path
-(tags with classes, digits folded) of its best one. Votes are added up per host in Spark. Second pass: every page is
+First pass: every page's containers are scored by the prose they hold; the best one is widened to the highest ancestor
+that adds article text, and the page votes with its generalised path (tags with classes, digits folded). Votes are added up per host in Spark. Second pass: every page is
 extracted again at its host's winning path; a page that lacks it falls back to its own best container.
 """
 
@@ -166,10 +166,11 @@ def path_of(node: Node) -> str:
     return "/".join(reversed(steps))
 
 
-def scores(root: Node) -> list[tuple[float, Node]]:
-    """Score of each container: prose of its own paragraphs, half that of the paragraphs a level below, less links.
+def scores(root: Node) -> tuple[list[tuple[float, Node]], dict[Node, list[float]]]:
+    """(score of each container, characters outside and inside of links of each kept node).
 
-    Prose in an article or main element counts more; what is dropped counts nothing.
+    The score is the prose of its own paragraphs, half that of the paragraphs a level below, less links. Prose in an
+    article or main element counts more; what is dropped counts nothing.
     """
     total: dict[Node, list[float]] = {}
     stack: list[tuple[Node, bool]] = [(root, False)]
@@ -201,16 +202,25 @@ def scores(root: Node) -> list[tuple[float, Node]]:
             direct = sum(len(c.strip()) for c in x.children if isinstance(c, str))
             prose[x] = prose.get(x, 0.0) + direct
     boost = {"article": 2.0, "main": 1.6}
-    return [(v * boost.get(x.tag, 1.0), x) for x, v in prose.items() if v > 0]
+    return [(v * boost.get(x.tag, 1.0), x) for x, v in prose.items() if v > 0], total
 
 
 def best(root: Node) -> Node | None:
-    """The container with the best score, the first in page order among equals."""
-    found = scores(root)
+    """The container with the best score, the first in page order among equals, or the highest one around it that adds
+    article text: more than two characters outside of links for each one inside. The body itself is never climbed to.
+    """
+    found, total = scores(root)
     if not found:
         return None
     top = max(s for s, _ in found)
-    return next(x for s, x in found if s == top)
+    node = next(x for s, x in found if s == top)
+    x = node.parent
+    while x is not None and x.parent is not None and x.tag not in ("html", "body"):
+        text, links = (a - b for a, b in zip(total[x], total[node], strict=True))
+        if text > 2 * links:
+            node = x
+        x = x.parent
+    return node
 
 
 def at_path(root: Node, path: str) -> list[Node]:

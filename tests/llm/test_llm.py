@@ -194,6 +194,23 @@ def test_extraction():
     assert [hostpaths.extract(x, "article") for x in (None, "", "<p>", "< a > b", "<b>x", "</p>", "<a href='")] == ["", "", "", "< a > b", "x", "", ""]
 
 
+@pytest.mark.parametrize(
+    ("page", "path"),
+    [
+        ("<div class=post><h1>{40}</h1><div class=body><p>{400}</p></div></div>", "div.post"),
+        ("<main><h1>{40}</h1><div class=body><p>{400}</p></div></main>", "main"),
+        ("<div class=content><div class=lead><p>{100}</p></div><div class=text><p>{400}</p></div></div>", "div.content"),
+        ("<article><h1>{40}</h1><div class=entry><section class=a><p>{700}</p></section><section class=b><p>{300}</p></section></div></article>", "article"),
+        ("<div class=page><div class=list><a href=x>{300}</a></div><div class=body><p>{400}</p></div></div>", "div.page/div.body"),
+    ],
+)
+def test_the_whole_article_is_the_container(page, path):
+    sizes = [int(n) for n in re.findall(r"\{(\d+)\}", page)]
+    html = re.sub(r"\{(\d+)\}", lambda m: "x" * int(m[1]), page)
+    assert hostpaths.path_of(hostpaths.best(hostpaths.parse(f"<body>{html}<p>out</p></body>"))) == path
+    assert [len(x) for x in hostpaths.extract(html, path).split("\n")] == (sizes[1:] if "list" in page else sizes)
+
+
 def test_hosts_vote(spark):
     good = "<div class='body9'><p>" + "long prose of the article, " * 9 + "</p></div><div class='rail'><p>short</p></div>"
     odd = "<div class='body3'><p>brief</p></div><div class='rail'><p>" + "a long list of other things, " * 9 + "</p></div>"
