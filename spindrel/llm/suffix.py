@@ -338,9 +338,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 8, id_co
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """docs without the documents that hold a benchmark passage: `window` hit words or more, of one item or of many.
+    """docs without the documents that are contaminated (two items) or have `window` hit words or more, of any items.
 
-    This is stricter than `contaminated`, which asks for two items. Rows with a null doc_id stay.
+    Rows with a null doc_id stay.
     """
-    gone = staged(contamination(docs, benchmark, id_col, text_col, window).where((F.col("n_hit") >= window) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    gone = staged(contamination(docs, benchmark, id_col, text_col, window).where((F.col("contaminated") | (F.col("n_hit") >= window)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return without(docs, gone, id_col)

@@ -164,6 +164,12 @@ def test_contamination_of_empty_tables(spark):
     assert suffix.longest_matches(docs(spark, ["a"]), bench).count() == 0
 
 
+def test_two_short_items_drop_a_document(spark):
+    items = spark.createDataFrame([("a", "one two three"), ("b", "four five six seven")], "item_id string, text string")
+    frame = docs(spark, ["x one two three y four five six seven", "x one two three y", "z"])
+    assert rows_of(suffix.drop_contaminated(frame, items), "doc_id") == [(1,), (2,)]
+
+
 def test_suffix_array_and_longest_matches(spark):
     rng = np.random.default_rng(6)
     for _ in range(20):
