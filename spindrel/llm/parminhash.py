@@ -383,10 +383,10 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     buckets = max(least, 2 * words // (run_words - min(SHINGLE, run_words) + 2) // BUCKET + 1)
     anchors = docs.mapInArrow(freed(_anchors(run_words, buckets)), "bucket long, c0 binary, c1 binary, c2 binary").repartition(buckets, "bucket").mapInArrow(freed(_again), "doc_id long, places binary")
     places = staged(anchors.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "places")
-    size = F.expr("aggregate(places, 0L, (n, x) -> n + length(x) div 4)")
-    n, words = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    words = places.agg(F.coalesce(F.sum(F.expr("aggregate(places, 0L, (n, x) -> n + length(x) div 4)")), F.lit(0))).first()[0]
     buckets = max(least, words * (run_words // 2) // BUCKET + 1)
-    windows = docs.join(small_or_shuffled(places, max(n, words // 4)), "doc_id").select("doc_id", "text", "places").mapInArrow(freed(_windows(run_words, buckets)), "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+    # The places grow with the corpus: texts are shuffled to them at every size.
+    windows = docs.join(places.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places").mapInArrow(freed(_windows(run_words, buckets)), "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
     segments = windows.repartition(buckets, "bucket").mapInArrow(freed(_segments(run_words)), SEGMENTS)
     found = staged(segments.groupBy("doc_id").agg(F.collect_list(F.struct(*[c.split()[0] for c in SEGMENTS.split(", ")[1:]])).alias("found")), "segments")
     lines = docs.mapInArrow(freed(_lines), "doc_id long, lines binary")  # texts stay where they are
@@ -415,9 +415,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = components(edges, "paragraph-blocks").withColumnRenamed("node", "set_key")
     live = staged(classes.join(blocks, "set_key").select("set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), F.col("n").cast("long").alias("n"), "root"), "live")
 
-    def sets(spots: DataFrame, _: int) -> DataFrame:
+    def sets(spots: DataFrame, number: int) -> DataFrame:
         wanted = staged(spots.groupBy("doc_id").agg(F.collect_list(F.struct("paragraph", "set_key", "root", "chunk")).alias("wanted")), "wanted")
-        return docs.join(small_or_shuffled(wanted), "doc_id").select("text", "wanted").mapInArrow(freed(_sets), "set_key long, root long, chunk long, tokens binary")
+        return docs.join(small_or_shuffled(wanted, number), "doc_id").select("text", "wanted").mapInArrow(freed(_sets), "set_key long, root long, chunk long, tokens binary")
 
     links = components(block_links(live, ["doc_id", "paragraph"], sets, percent), "paragraph-links").withColumnRenamed("node", "set_key")
     grouped = staged(classes.join(links, "set_key").select("set_key", "root", "first", "copies"), "grouped")
