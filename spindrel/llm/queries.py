@@ -66,7 +66,8 @@ def op9_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page's record as read back from the archives, and its place among all captures by URL key and time."""
+    return warc.capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -133,10 +134,17 @@ SQL: dict[str, str] = {
             FROM rows)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""",
     "op10_warc_histories": r"""
-        WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM payloads)
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d, regexp_replace(coalesce(url, ''), '[\x00-\x20\x7F]', '', 'g') AS u,
+                   strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 100000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+            FROM pages),
+        keyed AS (
+            SELECT *, array_to_string(list_reverse(string_split(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), '.')), ',') || ')' ||
+                   coalesce(nullif(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^#]*)', 1), ''), '/') AS url_key
+            FROM payloads),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, row_number() OVER (ORDER BY url_key, captured, page_id, d) - 1 AS place FROM keyed)
         SELECT page_id, n AS payload_bytes, d AS payload_digest,
                CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
+               CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to, url_key, captured, place
         FROM firsts""",
 }
