@@ -25,18 +25,22 @@ def op1_sentencepiece_wfst(spark: SparkSession, sf_dir: str, tokenizers: str = T
 
 
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, items and longest match of every document with the whole benchmark."""
     return suffix.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_host_path_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return hostpaths.main_texts(_table(spark, sf_dir, "pages"))
 
 
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near copies of every document."""
     return sigtree.similar_groups(_table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
     return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("uid")
 
 
@@ -51,10 +55,12 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that repeat, and the copy that stays."""
     return parminhash.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of the labelled ones that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
@@ -91,19 +97,22 @@ SQL: dict[str, str] = {
         items AS (
             SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
             FROM benchmark),
-        item_starts AS (SELECT item_id, w, least(len(w), 8) AS k, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM items WHERE len(w) > 0),
-        windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM item_starts),
+        item_starts AS (SELECT item, item_id, w, least(len(w), 8) AS k, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS pos FROM (SELECT *, row_number() OVER () AS item FROM items) WHERE len(w) > 0),
+        windows AS (SELECT item, item_id, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS s FROM item_starts),
         sizes AS (SELECT DISTINCT k FROM windows),
         doc_starts AS (SELECT row, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k),
         found AS (
-            SELECT row, i, d.k, item_id
+            SELECT row, i, d.k, item, item_id, pos
             FROM (SELECT row, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM doc_starts) d
             JOIN windows ON windows.s = d.s AND windows.k = d.k),
         hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT row, i, k FROM found)) GROUP BY row),
-        named AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM found) GROUP BY row)
+        named AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM found) GROUP BY row),
+        -- a match goes on while the next words are the item's next ones
+        runs AS (SELECT row, min(i) AS i, count(*) + k - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY row, item, i - pos ORDER BY i) AS run FROM found) GROUP BY row, item, k, i - pos, run),
+        longest AS (SELECT row, n AS longest, min(i) - 1 AS longest_start FROM runs GROUP BY row, n QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC) = 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-        FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)""",
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(longest, 0) AS longest, longest_start
+        FROM docs LEFT JOIN longest USING (row) LEFT JOIN hit USING (row) LEFT JOIN named USING (row)""",
     "op4_signature_tree_join": r"""
         WITH RECURSIVE split AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

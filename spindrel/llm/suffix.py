@@ -1,9 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each shard (a chunk of documents in a task) gets a suffix array over its words; every suffix of the benchmark items is
-binary-searched in it. That gives the longest verbatim match of each item suffix, its locations, and all occurrences
-of the items' windows. Words that no item has end all matches, so suffixes that can't reach the shortest window
-are left out of the array; that changes no match.
+Each shard (a chunk of documents in a task) gets a suffix array over its words, and every suffix of the benchmark items
+is binary-searched in it: equal beginnings once. What is found are the locations of verbatim matches; how far a match
+at a location goes is the longest common beginning with any item suffix, looked up in the items' own suffix array.
+Words that are hit, items, the longest match and the removal of documents all follow from these matches. Words that no
+item has end all matches, so shard suffixes that can't reach the shortest match are left out of the array; that
+changes no match.
 
 A document is scanned where it lies: nothing is shuffled unless the benchmark is too large for one broadcast; then
 blocks of it are searched one after another and the hits of a document are merged.
@@ -26,10 +28,12 @@ from spindrel.llm.words import ALNUM, hashed
 #: Bytes of a shard.
 SHARD = 1 << 20
 #: Bytes of item texts in one broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Words of an item from which its occurrence alone, as a whole, counts as a passage.
+LEAST_ITEM = 4
 MATCHES = "doc_id long, doc_word long, item_id string, item_word long, length long"
-HITS = "doc_id long, row long, n_words long, items array<string>, starts array<long>, ends array<long>"
-REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+HITS = "doc_id long, row long, n_words long, items array<string>, starts array<long>, ends array<long>, longest long, longest_start long"
+REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_start long"
 
 
 @dataclass
@@ -42,17 +46,32 @@ class Benchmark:
     firsts: np.ndarray  # first word of each item and the end
     window: int
 
-    @property
-    def item_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ids)), np.diff(self.firsts))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start word, length, item number) of all windows."""
+    def __post_init__(self) -> None:
+        """Beginnings to search: runs of `window` words, or whole shorter items; equal ones are one, with all its items."""
         n = np.diff(self.firsts) - 1
         count = np.where(n == 0, 0, np.maximum(n - self.window + 1, 1))
         item = np.repeat(np.arange(len(n)), count)
         start = self.firsts[:-1][item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return start, np.minimum(n, self.window)[item], item
+        length = np.minimum(n, self.window)[item]
+        self.least = int(length.min(initial=self.window))
+        stops = np.flatnonzero(self.words == 0)
+        at = np.flatnonzero(self.words)
+        self.left = np.zeros(len(self.words), np.int64)  # words up to the item's end
+        self.left[at] = stops[np.searchsorted(stops, at)] - at
+        self.suffixes = Suffixes(self.words, at[self.left[at] >= self.least])
+        low, high = self.suffixes.search(self.words, start, length)
+        self.key, first, which = np.unique(np.stack([low, length], 1), axis=0, return_index=True, return_inverse=True) if len(start) else (None, start, start)
+        self.start, self.length = start[first], length[first]
+        order = np.lexsort((item, which))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (which[order][1:] != which[order][:-1]) | (item[order][1:] != item[order][:-1])
+        order = order[fresh]
+        self.items = item[order]  # of each beginning, from bounds[k] to bounds[k + 1]
+        self.bounds = np.searchsorted(which[order], np.arange(len(self.start) + 1))
+
+    @property
+    def item_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.firsts))
 
 
 def compile_items(items: list[tuple[str | None, str | None]], window: int = 8) -> Benchmark:
@@ -94,32 +113,11 @@ def suffix_array(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return starts[np.argsort(rank[starts], kind="stable")]
 
 
-class Shard:
-    """The suffix array of some texts' word numbers."""
+class Suffixes:
+    """The given suffixes of a text of numbers, in order; 0 ends a suffix."""
 
-    def __init__(self, numbers: np.ndarray, firsts: np.ndarray, least: int) -> None:
-        """Keeps runs of at least `least` words that items have; firsts: first word of each text and the end."""
-        stop = np.zeros(len(numbers) + 1, bool)
-        stop[:-1] = numbers == 0
-        stop[-1] = True
-        heads = np.zeros(len(numbers) + 1, bool)
-        heads[firsts] = True
-        edge = np.flatnonzero(stop | heads)  # a run ends at an unknown word or where a text begins
-        begin = np.r_[0, edge]
-        begin = begin + np.r_[False, stop[edge]]
-        end = np.r_[edge, len(numbers)]
-        keep = end - begin >= least
-        begin, end = begin[keep], end[keep]
-        sizes = end - begin + 1  # each run is followed by a 0
-        into = np.cumsum(sizes) - sizes
-        self.text = np.zeros(int(sizes.sum()), np.int32)
-        self.place = np.zeros(len(self.text), np.int64)  # word of the shard
-        inner = np.arange(len(self.text)) - np.repeat(into, sizes) if len(sizes) else np.zeros(0, np.int64)
-        self.place = np.repeat(begin, sizes) + inner
-        real = inner < np.repeat(sizes - 1, sizes) if len(sizes) else np.zeros(0, bool)
-        self.text[real] = numbers[self.place[real]]
-        left = np.repeat(sizes - 1, sizes) - inner if len(sizes) else inner
-        self.array = suffix_array(self.text, np.flatnonzero(real & (left >= least)))
+    def __init__(self, text: np.ndarray, starts: np.ndarray) -> None:
+        self.text, self.array = text, suffix_array(text, starts)
 
     def _compare(self, suffix: np.ndarray, words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """-1, 0 or 1: the suffix against the words[start:start + length]; 0 if it begins with them."""
@@ -165,6 +163,32 @@ class Shard:
         return best
 
 
+class Shard(Suffixes):
+    """The suffix array of some texts' word numbers."""
+
+    def __init__(self, numbers: np.ndarray, firsts: np.ndarray, least: int) -> None:
+        """Keeps runs of at least `least` words that items have; firsts: first word of each text and the end."""
+        stop = np.zeros(len(numbers) + 1, bool)
+        stop[:-1] = numbers == 0
+        stop[-1] = True
+        heads = np.zeros(len(numbers) + 1, bool)
+        heads[firsts] = True
+        edge = np.flatnonzero(stop | heads)  # a run ends at an unknown word or where a text begins
+        begin = np.r_[0, edge]
+        begin = begin + np.r_[False, stop[edge]]
+        end = np.r_[edge, len(numbers)]
+        keep = end - begin >= least
+        begin, end = begin[keep], end[keep]
+        sizes = end - begin + 1  # each run is followed by a 0
+        into = np.cumsum(sizes) - sizes
+        text = np.zeros(int(sizes.sum()), np.int32)
+        inner = np.arange(len(text)) - np.repeat(into, sizes)
+        self.place = np.repeat(begin, sizes) + inner  # word of the shard
+        self.left = np.repeat(sizes - 1, sizes) - inner  # words up to the run's end
+        text[self.left > 0] = numbers[self.place[self.left > 0]]
+        super().__init__(text, np.flatnonzero(self.left >= least))
+
+
 def _shards(batches: Iterator[pa.RecordBatch], benches: list[Benchmark]):
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
@@ -174,19 +198,31 @@ def _shards(batches: Iterator[pa.RecordBatch], benches: list[Benchmark]):
             yield batch, i, j, firsts, [numbered(hashes, b.vocabulary) for b in benches]
 
 
-def _least(bench: Benchmark) -> int:
-    n = np.diff(bench.firsts) - 1
-    return int(min(bench.window, n[n > 0].min(initial=bench.window)))
-
-
-def _occurrences(bench: Benchmark, shard: Shard, asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word in the shard, length, item number) of each occurrence of each window."""
-    start, length, item = asked
-    low, high = shard.search(bench.words, start, length)
+def _matches(bench: Benchmark, shard: Shard, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word in the shard, length) of the longest match at each location, and the distinct (text, item)."""
+    low, high = shard.search(bench.words, bench.start, bench.length)
     count = high - low
-    which = np.repeat(np.arange(len(start)), count)
-    at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return shard.place[shard.array[at]], length[which], item[which]
+    which = np.repeat(np.arange(len(low)), count)
+    spot = shard.array[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    text = np.searchsorted(firsts, shard.place[spot], side="right") - 1
+    seen = np.unique(text * (len(low) + 1) + which)  # a beginning counts once a text
+    each = seen // (len(low) + 1), seen % (len(low) + 1)
+    number = (bench.bounds[1:] - bench.bounds[:-1])[each[1]]
+    item = bench.items[np.repeat(bench.bounds[:-1][each[1]] - (np.cumsum(number) - number), number) + np.arange(number.sum())]
+    pairs = np.unique(np.stack([np.repeat(each[0], number), item], 1), axis=0)
+    spot, first = np.unique(spot, return_inverse=True)
+    short = np.zeros(len(spot), np.int64)
+    np.maximum.at(short, first, bench.length[which])
+    longest = bench.suffixes.longest(shard.text, spot, spot + shard.left[spot])
+    return shard.place[spot], np.where(longest >= bench.window, longest, short), pairs[:, 0], pairs[:, 1]
+
+
+def _longest_of(doc: np.ndarray, place: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n texts the longest match and its first place in the shard, 0 and -1 without one."""
+    longest, start = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    order = np.lexsort((-place, length, doc))  # the last of a text is its longest, the first in place among equals
+    longest[doc[order]], start[doc[order]] = length[order], place[order]
+    return longest, start
 
 
 def _report(shared):
@@ -194,23 +230,23 @@ def _report(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
-        asked, least = bench.windows(), _least(bench)
         names, none = np.array(bench.ids, object), hashlib.sha256(b"").hexdigest()
         for batch, i, j, firsts, (numbers,) in _shards(batches, [bench]):
-            place, length, item = _occurrences(bench, Shard(numbers, firsts, least), asked)
+            place, length, text, item = _matches(bench, Shard(numbers, firsts, bench.least), firsts)
             delta = np.zeros(len(numbers) + 1, np.int64)
             np.add.at(delta, place, 1)
             np.add.at(delta, place + length, -1)
             hit = np.r_[0, np.cumsum(np.cumsum(delta[:-1]) > 0)]
             found: dict[int, set[str]] = {}
-            pairs = np.unique(np.stack([np.searchsorted(firsts, place, side="right") - 1, item], 1), axis=0) if len(place) else np.zeros((0, 2), int)
-            for k, name in zip(pairs[:, 0].tolist(), names[pairs[:, 1]].tolist(), strict=True):
+            for k, name in zip(text.tolist(), names[item].tolist(), strict=True):
                 found.setdefault(k, set()).add(name)
             sums = [hashlib.sha256(",".join(sorted(found[k])).encode()).hexdigest() if k in found else none for k in range(j - i)]
             n_items = [len(found.get(k, ())) for k in range(j - i)]
+            longest, start = _longest_of(np.searchsorted(firsts, place, side="right") - 1, place, length, j - i)
+            start = pa.array(start - firsts[:-1], mask=start < 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(np.diff(firsts)), pa.array(np.diff(hit[firsts])), pa.array(n_items, pa.int64()), pa.array(sums), pa.array([n >= 2 for n in n_items])],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [batch.column(0).slice(i, j - i), pa.array(np.diff(firsts)), pa.array(np.diff(hit[firsts])), pa.array(n_items, pa.int64()), pa.array(sums), pa.array([n >= 2 for n in n_items]), pa.array(longest), start],
+                names=[c.split()[0] for c in REPORT.split(", ")],
             )
         release()
 
@@ -218,23 +254,34 @@ def _report(shared):
 
 
 def _hits(shared):
-    """For one block of the benchmark: each document's items and hit word ranges."""
+    """For one block of the benchmark: each document's items, hit word ranges and longest match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
-        asked, least = bench.windows(), _least(bench)
+        names = np.array(bench.ids, object)
         for batch, i, j, firsts, (numbers,) in _shards(batches, [bench]):
-            place, length, item = _occurrences(bench, Shard(numbers, firsts, least), asked)
+            place, length, text, item = _matches(bench, Shard(numbers, firsts, bench.least), firsts)
+            order = np.argsort(place, kind="stable")
+            place, length = place[order], length[order]
             doc = np.searchsorted(firsts, place, side="right") - 1
+            cut, cut_items = np.searchsorted(doc, np.arange(j - i + 1)), np.searchsorted(text, np.arange(j - i + 1))
+            longest, start = _longest_of(doc, place, length, j - i)
             rows = []
             for k in range(j - i):
-                mine = doc == k
+                mine = slice(cut[k], cut[k + 1])
                 ranges = _merged(place[mine] - firsts[k], place[mine] - firsts[k] + length[mine])
-                rows.append((sorted({bench.ids[x] for x in item[mine].tolist()}), ranges[:, 0].tolist(), ranges[:, 1].tolist()))
+                rows.append((sorted(set(names[item[cut_items[k] : cut_items[k + 1]]].tolist())), ranges[:, 0].tolist(), ranges[:, 1].tolist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(firsts)), *(pa.array([r[c] for r in rows], pa.list_(kind)) for c, kind in enumerate((pa.string(), pa.int64(), pa.int64())))],
-                names=["doc_id", "row", "n_words", "items", "starts", "ends"],
+                [
+                    *(batch.column(c).slice(i, j - i) for c in (0, 2)),
+                    pa.array(np.diff(firsts)),
+                    *(pa.array([r[c] for r in rows], pa.list_(kind)) for c, kind in enumerate((pa.string(), pa.int64(), pa.int64()))),
+                    pa.array(longest),
+                    pa.array(start - firsts[:-1], mask=start < 0),
+                ],
+                names=[c.split()[0] for c in HITS.split(", ")],
             )
+        release()
 
     return run
 
@@ -252,12 +299,12 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, n_words, items, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "items", "starts", "ends")), strict=True):
+        for doc, n_words, items, starts, ends, longest, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "items", "starts", "ends", "longest", "longest_start")), strict=True):
             ranges = _merged(np.array([x for part in starts for x in part], np.int64), np.array([x for part in ends for x in part], np.int64))
             names = sorted({x for part in items for x in part})
-            out.append((doc, n_words, int((ranges[:, 1] - ranges[:, 0]).sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= 2))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            out.append((doc, n_words, int((ranges[:, 1] - ranges[:, 0]).sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= 2, longest, start))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=[c.split()[0] for c in REPORT.split(", ")])
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = 8, block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
@@ -275,12 +322,15 @@ def benchmark_blocks(benchmark: DataFrame, window: int = 8, block_bytes: int = B
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_start.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. An item's windows are its runs of `window` words;
     an item with fewer words, but not none, is one window. n_hit counts the words inside any occurrence of a window,
-    n_items the items with an occurring window; contaminated means two items or more. A null text has no words; null
-    items or item texts match nothing; items that repeat an id count once. Repeated documents each get their row.
+    n_items the items with an occurring window; contaminated means two items or more. longest is the number of words
+    of the longest verbatim match with an item, longest_start its first word in the document (the first of equals; 0
+    and null without a match). A null text has no words; null items or item texts match nothing; items that repeat an
+    id count once. Repeated documents each get their row. A text is searched whole: one beyond the size of a shard is a
+    shard of its own. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -298,7 +348,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for part in parts[1:]:
         hits = hits.unionByName(part)
     lists = [F.collect_list(c).alias(c) for c in ("items", "starts", "ends")]  # one entry a block
-    return hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists).select("doc_id", "n_words", "items", "starts", "ends").mapInArrow(_combined, REPORT)
+    top = F.max(F.struct("longest", (-F.col("longest_start")).alias("s")))
+    merged = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists, top.alias("top"))
+    return merged.select("doc_id", "n_words", "items", "starts", "ends", F.col("top.longest").alias("longest"), (-F.col("top.s")).alias("longest_start")).mapInArrow(_combined, REPORT)
 
 
 def _longest(shared, least: int):
@@ -337,10 +389,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 8, id_co
     return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """docs without the documents that are contaminated (two items) or have `window` hit words or more, of any items.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, least_item: int = LEAST_ITEM) -> DataFrame:
+    """docs without the documents that hold a benchmark passage verbatim, with all their columns.
 
-    Rows with a null doc_id stay.
+    A passage is a match of `window` words or more, or a whole shorter item of least_item words or more. Documents with
+    matches of two items go as well, if one of them has two words or more; scattered single words never count. Rows with
+    a null doc_id stay; rows of one doc_id go together.
     """
-    gone = staged(contamination(docs, benchmark, id_col, text_col, window).where((F.col("contaminated") | (F.col("n_hit") >= window)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    found = contamination(docs, benchmark, id_col, text_col, window)
+    bad = (F.col("longest") >= min(least_item, window)) | (F.col("contaminated") & (F.col("longest") >= 2))
+    gone = staged(found.where(bad & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return without(docs, gone, id_col)
