@@ -158,12 +158,16 @@ class Stream:
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n and self._more():
-            pass
-        if len(self.buffer) < n:
-            raise ValueError("an archive ends inside a record")
-        out, self.buffer = self.buffer[:n], self.buffer[n:]
-        return out
+        parts, have = [self.buffer], len(self.buffer)
+        while have < n:
+            self.buffer = b""
+            if not self._more():
+                raise ValueError("an archive ends inside a record")
+            parts.append(self.buffer)
+            have += len(self.buffer)
+        whole = b"".join(parts)
+        self.buffer = whole[n:]
+        return whole[:n]
 
 
 def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -197,7 +201,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"a payload doesn't match its digest: {run}, {offset} bytes into a record of the split at {split}")
                 page = fields.get("x-page-id")
-                rows.append((run, split, fields["x-url-key"], fields["warc-date"], int(page) if page else None, kind, _page_of(to) if to else None, size, digest, at.get((run, split), 0) + (offset if offset else 0), whole))
+                rows.append((run, split, fields["x-url-key"], fields["warc-date"], int(page) if page else None, kind, _page_of(to) if to else None, size, digest, at.get((run, split), 0) + offset, whole))
             at[run, split] = at.get((run, split), 0) + whole
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=[x.split()[0] for x in SPLIT.split(", ")])
     release()

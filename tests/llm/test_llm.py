@@ -157,6 +157,30 @@ def test_contamination(spark, block_bytes, monkeypatch):
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == spoilt(texts, items)
 
 
+def longest_match(text, items, window=8):
+    """(words, first word) of the longest match, tried word by word."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    w, best = split(text), (0, None)
+    for item in map(split, items):
+        for i, j in itertools.product(range(len(w)), range(len(item))):
+            n = 0
+            while i + n < len(w) and j + n < len(item) and w[i + n] == item[j + n]:
+                n += 1
+            if n >= min(window, len(item)) and (n > best[0] or (n == best[0] and i < best[1])):
+                best = (n, i)
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_longest_match_of_each_document(spark, block_bytes):
+    rng = random.Random(55)
+    items = [prose(rng, rng.choice([1, 3, 9, 20, 30]), 6) for _ in range(12)] + ["the"] * 30 + ["a b c d e f g h i j"] * 2
+    texts = ["the " * 300, "x a b c d e f g h i j x a b c d e f g h i", None, ""] + [prose(rng, rng.randrange(40), 6) + " " + items[rng.randrange(12)] for _ in range(30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = rows_of(suffix.contamination(docs(spark, texts), bench, block_bytes=block_bytes), "doc_id", "longest", "longest_start")
+    assert got == sorted(((i, *longest_match(t, items)) for i, t in enumerate(texts)), key=repr)
+
+
 def test_contamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert rows_of(suffix.contamination(docs(spark, ["a b"]), bench), "n_words", "n_items", "contaminated") == [(2, 0, False)]
@@ -164,10 +188,10 @@ def test_contamination_of_empty_tables(spark):
     assert suffix.longest_matches(docs(spark, ["a"]), bench).count() == 0
 
 
-def test_two_short_items_drop_a_document(spark):
-    items = spark.createDataFrame([("a", "one two three"), ("b", "four five six seven")], "item_id string, text string")
-    frame = docs(spark, ["x one two three y four five six seven", "x one two three y", "z"])
-    assert rows_of(suffix.drop_contaminated(frame, items), "doc_id") == [(1,), (2,)]
+def test_passages_drop_documents_and_scattered_words_don_t(spark):
+    items = spark.createDataFrame([("a", "one two three"), ("b", "four five six seven"), ("c", "the"), ("d", "of"), ("e", "i j k"), ("f", "q w e r t y u i o p")], "item_id string, text string")
+    texts = ["x one two three y i j k", "x one two three y", "z four five, six seven", "the of " * 20, "q w e r t y u i", "q w e r t y u", None]
+    assert rows_of(suffix.drop_contaminated(docs(spark, texts), items), "doc_id") == [(1,), (3,), (5,), (6,)]
 
 
 def test_suffix_array_and_longest_matches(spark):
@@ -217,6 +241,88 @@ def test_the_whole_article_is_the_container(page, path):
     assert [len(x) for x in hostpaths.extract(html, path).split("\n")] == (sizes[1:] if "list" in page else sizes)
 
 
+LONG = "Some long text of an article, that goes on and on. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG}</p><p title=it's>Hello</p><p>don't stop</p></article>", [LONG, "Hello", "don't stop"]),
+        (f"<article><p>{LONG}</p><div class='side-by-side'><p>both</p></div><div class=share-bar><p>Share!</p></div></article>", [LONG, "both"]),
+        (f"<body><div class='discussion'><p>{LONG}</p><p>{LONG}</p></div><div class=box><p>other box</p></div>", [LONG, LONG]),
+        (f"<div class='post'><p>first {LONG}</p></div><div class=post><p>second</p></div><div class=x><p>no</p></div>", ["first " + LONG, "second"]),
+        (f"<body><h1>Title</h1><div class=text><p>{LONG}</p></div><div class=x><p>no</p></div>", ["Title", LONG]),
+        (f"<header><h1>Site</h1></header><div class=text><p>{LONG}</p></div><div class=x><p>no</p></div>", [LONG]),
+        (f"<form id=all><div class=content><h1>T</h1><p>{LONG}</p></div><label>x</label><input></form>", ["T", LONG]),
+        (f"<head><title>x</title><p>{LONG}", [LONG]),
+        (f"<div><a href=1>One</a> | <a>Two</a> | <a>Three</a></div><p>{LONG}</p>", [LONG]),
+        (f"<!--><p>{LONG}</p><!-- x --!><p>b</p><![CDATA[ q ]]>", [LONG, "b"]),
+        (f"<table><tr><td><ul><li><a>x</a></ul><td><p>{LONG}<p>next</table>", [LONG, "next"]),
+        (f"<div class=no-sidebar><p>{LONG}</p><div class=related-posts><p>no</p></div><div class='comment-list'><p>{LONG * 3}</p></div></div>", [LONG]),
+        (f"<a href=x/>y</a><main><p>1 < 2 &amp; 3 > 2</p><p a='>' b=\">\" c>{LONG}</p></main>", ["1 < 2 & 3 > 2", LONG]),
+        (f"<article><p>{LONG}<ul><li><a href=x>one</a><li><a href=y>two</a><li><a href=z>three</a></ul></article>", [LONG, "one", "two", "three"]),
+    ],
+)
+def test_pages_by_hand(page, want):
+    assert hostpaths.extract(page, None).split("\n") == [x.strip() for x in want]
+
+
+def made_page(rng, host):
+    """A page of its host's build with all kinds of furniture around the article, and the article's text."""
+    line = lambda n: prose(rng, n, 500)
+    title, paragraphs = line(6), [line(rng.randrange(8, 60)) for _ in range(rng.randrange(1, 7))]
+    wrap, title_in = [("<article>", True), ("<main>", True), (f'<div class="post-{rng.randrange(99)} entry">', True), ('<div class="layout has-sidebar"><div class="content">', False), ('<section id=story class="side-by-side">', True)][host]
+    close = {"<article>": "</article>", "<main>": "</main>"}.get(wrap, "</section>" if wrap.startswith("<section") else "</div>" * wrap.count("<div"))
+    noise = ['<div class="ad">' + line(9) + "</div>", '<aside><p>' + line(30) + "</p></aside>", '<div class="share-buttons"><a>' + line(2) + "</a></div>", "<script>var x = '</p>" + line(4) + "'</script>", "<!-- " + line(5) + " -->", '<form><label>' + line(3) + "</label></form>", '<p hidden>' + line(5) + "</p>"]
+    body, text = [], []
+    for p in paragraphs:
+        words = p.split()
+        shown = "\t".join(f"<b>{w}</b>" if rng.random() < 0.1 else f'<a href="/x">{w}</a>' if rng.random() < 0.05 else w for w in words)
+        body.append(rng.choice(["<p>", "<p class=it's>"]) + shown.replace("\t", rng.choice([" ", "\n  ", "<br>"])) + rng.choice(["</p>", ""]))
+        text.append(p)
+        if rng.random() < 0.4:
+            body.append(rng.choice(noise))
+    head = f"<h1>{title} &amp; more</h1>"
+    nav = '<nav><ul>' + "".join(f"<li><a href=/{k}>{line(1)}</a>" for k in range(5)) + "</ul></nav>"
+    tail = '<section class="comments"><article class="comment"><p>' + line(rng.randrange(10, 300)) + "</p></article></section><footer>&copy; " + line(12) + "</footer>"
+    html = f"<!doctype html><html><head><title>{title}</title></head><body>{nav}{rng.choice(noise)}{'' if title_in else head}{wrap}{head if title_in else ''}{''.join(body)}{close}{tail}</body></html>"
+    return html, "\n".join([f"{title} & more", *text])
+
+
+def test_made_pages(spark):
+    rng = random.Random(33)
+    made = [(k, k % 5, *made_page(rng, k % 5)) for k in range(400)]
+    frame = spark.createDataFrame([(k, f"https://h{host}.example/{k}", html) for k, host, html, _ in made], "page_id long, url string, html string")
+    got = dict(rows_of(hostpaths.main_texts(frame), "page_id", "text"))
+    assert [k for k, _, _, text in made if got[k] != text] == []
+
+
+def test_test_pages_equal_their_articles(spark):
+    """Pages of the test data have one article each: what is between its tags, block by block."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test data")
+    frame = spark.read.parquet(f"{folder}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op3_host_path_texts(spark, folder).collect()}
+    for r in frame.collect():
+        inside = re.search(r"<article>(.*?)(?:</article>|<footer)", r["html"], re.S)[1]
+        lines = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|ul|ol|li|h2)\s*>", "\n", inside.replace("<br>", " "))).split("\n")
+        want = "\n".join(x for x in (re.sub(r"\s+", " ", hostpaths.entities.unescape(x)).strip() for x in lines) if x)
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for page in ("<div>" * 100_000 + "<p>x</p>", "<b><p>" * 50_000 + "x", "<ul><li>" * 50_000 + "x", "<span class=side-x>" * 50_000 + "x"):
+        assert hostpaths.extract(page, "div/" * 50_000 + "p").endswith("x")
+    assert len(hostpaths.extract("<p>" + "word " * 400_000, None)) == 5 * 400_000 - 1
+
+
+def test_hosts_without_votes_and_repeated_rows(spark):
+    pages = [(1, "http://a.example/1", f"<div class=x><p>{LONG}</p></div>"), (1, "http://a.example/1", f"<div class=x><p>{LONG}</p></div>"), (2, "http://b.example/", "<p>only this"), (3, "http://b.example/", None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert rows_of(hostpaths.main_texts(frame), "page_id", "text") == sorted([(1, LONG.strip()), (1, LONG.strip()), (2, "only this"), (3, "")], key=repr)
+
+
 def test_hosts_vote(spark):
     good = "<div class='body9'><p>" + "long prose of the article, " * 9 + "</p></div><div class='rail'><p>short</p></div>"
     odd = "<div class='body3'><p>brief</p></div><div class='rail'><p>" + "a long list of other things, " * 9 + "</p></div>"
@@ -510,21 +616,56 @@ def test_warc(spark, tmp_path):
         data = (text or "").encode()
         assert (got[page]["payload_bytes"], got[page]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
     assert [got[p]["refers_to"] for p in (2, 3, 5, 4, 6, 7, None)] == [None, 2, 2, None, None, None, None]
-    order = sorted(got.values(), key=lambda r: (r["range_no"], r["place"]))
-    assert [r["url_key"] for r in order] == sorted(r["url_key"] for r in order)
+    order = sorted(got.values(), key=lambda r: r["place"])
+    assert [r["place"] for r in order] == list(range(7)) and [r["url_key"] for r in order] == sorted(r["url_key"] for r in order)
     assert warc.capture_histories(frame.limit(0)).count() == 0
 
 
-def test_loser_tree_and_spilled_runs():
+def test_loser_tree_and_merge_passes():
     rng = random.Random(15)
     for k in (0, 1, 2, 3, 5, 8, 13):
         runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(20))) for _ in range(k)]
         assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
-    held = warc.Runs(held=10)
     entries = [(f"k{rng.randrange(9)}", "t", i, "response", None, 1, "d", i) for i in range(300)]
-    for i, e in enumerate(entries):
-        held.add(f"run{i % 4}", e)
-    assert list(held.merged()) == sorted(entries, key=warc.entry_key)
+    runs = [entries[k::7] for k in range(7)]
+    for fan in (2, 64):
+        assert list(warc.merged(runs, fan)) == sorted(entries, key=warc.entry_key)
+
+
+def test_revisits_of_repeated_ids_and_a_large_payload(spark, tmp_path):
+    a, b, c = "A" * 200, "B" * 200, "C" * 200
+    large = "é" * 50_000_000
+    pages = [(1, a), (2, b), (3, a), (3, b), (4, c), (4, a), (1, a), (None, a), (9, large)]
+    frame = spark.createDataFrame([(p, "http://x.example/", h) for p, h in pages], "page_id long, url string, html string")
+    got = rows_of(warc.capture_histories(frame, f"{tmp_path}/w"), "page_id", "payload_digest", "record_type", "refers_to")
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b, c, large)}
+    want = [(1, sha[a], "response", None)] * 2 + [(2, sha[b], "response", None), (3, sha[a], "revisit", 1), (3, sha[b], "revisit", 2), (4, sha[c], "response", None), (4, sha[a], "revisit", 1), (None, sha[a], "response", None), (9, sha[large], "response", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_archives_are_gzip_and_read_in_any_splits(spark, tmp_path):
+    import gzip
+    from urllib.parse import unquote, urlparse
+
+    rng = random.Random(16)
+    frame = spark.createDataFrame([(i, f"http://h{i % 7}.example/{i}", prose(rng, rng.randrange(200))) for i in range(300)], "page_id long, url string, html string").repartition(2)
+    warc.write_warc(frame, f"{tmp_path}/w")
+    whole = warc.read_index(spark, f"{tmp_path}/w").collect()
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        parts = warc.read_index(spark, f"{tmp_path}/w").collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    plain = lambda rows: sorted((r["run"].split("#")[0], r["offset"], r["length"], r["page_id"]) for r in rows)
+    assert plain(whole) == plain(parts) and len({r["run"] for r in parts}) > 10
+    for r in whole[::17]:
+        with open(unquote(urlparse(r["run"].split("#")[0]).path), "rb") as f:
+            data = f.read()
+        gzip.decompress(data)  # the archive as a whole
+        assert f"X-Page-ID: {r['page_id']}\r\n".encode() in gzip.decompress(data[r["offset"] : r["offset"] + r["length"]])
 
 
 def test_archives_of_many_members():
