@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model becomes three machines: a normaliser (dummy prefix, white-space escape), the pieces as a trie transducer from
-characters to piece ids, and byte fallback for characters that no piece has. An input, a chain of characters, is
+A model becomes three machines: a normaliser (the model's character map as a transducer that takes the longest rule at
+each place, then white space), the pieces as a trie transducer from characters to piece ids, and byte fallback for
+characters that no piece has. An input, a chain of characters, is
 composed with them; the tropical-semiring shortest path of the lattice gives the ids.
 
 A unigram model weighs an arc with the piece's negative score. A byte-pair model merges greedily; its encoding is the
@@ -68,6 +69,46 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def _transducer(outputs: dict) -> dict:
+    trie: dict = {}
+    for key, output in outputs.items():
+        node = trie
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = output
+    return trie
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a model's precompiled character map: a double-array trie of keys, then the texts they become.
+
+    All keys are listed by following every live arc from the root, level by level.
+    """
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], np.uint32).astype(np.int64), blob[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    labels, rules = np.arange(1, 256), {}
+    states, keys = np.array([offset(units[0])]), [b""]
+    while len(states):
+        to = states[:, None] ^ labels
+        unit = units[np.minimum(to, len(units) - 1)]
+        which, label = np.nonzero((to < len(units)) & ((unit & 0x800000FF) == labels))
+        unit, to = unit[which, label], to[which, label]
+        keys = [keys[w] + bytes([x + 1]) for w, x in zip(which.tolist(), label.tolist(), strict=True)]
+        states = to ^ offset(unit)
+        for k in np.flatnonzero(unit & 256).tolist():
+            value = int(units[states[k]]) & 0x7FFFFFFF
+            rules[keys[k].decode()] = texts[value : texts.index(b"\0", value)].decode()
+    return rules
+
+
+def normaliser_options(spec: bytes) -> dict:
+    """Options of a Machine from a model's normaliser message."""
+    part = dict(_fields(spec))
+    options = {name: bool(part.get(k, 1)) for name, k in (("dummy_prefix", 3), ("squeeze", 4), ("escape", 5))}
+    return options | ({"rules": character_map(part[2])} if part.get(2) else {})
+
+
 @dataclass
 class Machine:
     """A compiled model."""
@@ -79,6 +120,7 @@ class Machine:
     dummy_prefix: bool = True
     squeeze: bool = True
     escape: bool = True
+    rules: dict = field(default_factory=dict)
     trie: dict = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
 
@@ -86,12 +128,9 @@ class Machine:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (NORMAL, USER)}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, t in enumerate(self.types) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN)
-        # Arcs of the piece transducer: state -> character -> state; key "" holds the piece that ends there.
-        for piece, i in self.ids.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+        # Arcs of the transducers: state -> character -> state; key "" holds the output, a piece or a text, that ends there.
+        self.trie = _transducer(self.ids)
+        self.normaliser = _transducer(self.rules)
         # Words end before a space only if no piece goes on over such a place.
         self.cut = not any(a != SPACE == b for p in self.ids for a, b in zip(p, p[1:]))
         self.lines = bool(self.bytes) and not any("\n" in p for p in self.ids)
@@ -106,7 +145,25 @@ class Machine:
             return b""
         return " ⁇ ".encode() if self.types[i] == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
 
+    def mapped(self, text: str) -> str:
+        """The text through the normaliser's transducer: at each place the longest rule, else the character itself."""
+        first, out, at, copied = self.normaliser, [], 0, 0
+        while at < len(text):
+            node, end, best = first.get(text[at]), at + 1, None
+            while node is not None:
+                if "" in node:
+                    best = (end, node[""])
+                node, end = (node.get(text[end]) if end < len(text) else None), end + 1
+            if best is None:
+                at += 1
+                continue
+            out += [text[copied:at], best[1]]
+            at = copied = best[0]
+        return "".join([*out, text[copied:]])
+
     def normalise(self, text: str) -> str:
+        if self.normaliser:
+            text = self.mapped(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
@@ -404,7 +461,7 @@ def machine_of(data: bytes) -> Machine:
 
 
 def compile_model(data: bytes) -> Machine:
-    """Compiles a SentencePiece model file; other normalisers than identity, and user-defined pieces in a byte-pair model, aren't supported."""
+    """Compiles a SentencePiece model file; user-defined pieces aren't supported."""
     pieces, scores, types = [], [], []
     options = {"kind": UNIGRAM, "dummy_prefix": True, "squeeze": True, "escape": True}
     for number, value in _fields(data):
@@ -416,10 +473,7 @@ def compile_model(data: bytes) -> Machine:
         elif number == 2:
             options["kind"] = dict(_fields(value)).get(3, UNIGRAM)
         elif number == 3:
-            part = dict(_fields(value))
-            if part.get(2):
-                raise ValueError("a normaliser with a character map isn't supported")
-            options |= {name: bool(part.get(k, 1)) for name, k in (("dummy_prefix", 3), ("squeeze", 4), ("escape", 5))}
+            options |= normaliser_options(value)
     if options["kind"] not in (UNIGRAM, BPE) or USER in types:
         raise ValueError("only unigram and byte-pair models without user-defined pieces are supported")
     return Machine(pieces, scores, types, **options)
@@ -454,7 +508,9 @@ def tokenised(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     and, if with_ids, ids (array<int>) and decoded (text).
 
     model is the path of a SentencePiece model on the driver; its content (a bounded file) is broadcast. A null text
-    has no tokens and decodes to "". A model that squeezes white space, or has no byte fallback, may not round-trip.
+    has no tokens and decodes to "". A model that squeezes white space, maps characters, or has no byte fallback, may not
+    round-trip. Rows that repeat an id each get their row; texts and words are encoded whole, whatever their length, and
+    merges of equal score go from left to right. Other columns are not read.
     """
     with open(model, "rb") as f:
         data = f.read()
