@@ -1,27 +1,34 @@
 """Token counts as delta-maintained rollups.
 
-A ledger holds, for every committed batch, signed counts: per document (what a later delete or revision must take back)
-and per (source, lang, tokenizer). Totals are the sums of all committed deltas. A batch is one folder, written whole by
-Spark's committer and valid once its _SUCCESS file is there; a batch that is committed already is not applied again,
-and what a failed attempt left is overwritten.
+A ledger is a folder of written batches and a log. Each batch holds signed rows of its documents (what a later delete
+or revision must take back) and a rollup: signed sums per (source, lang, tokenizer). Totals are sums of rollups only;
+documents are read where a batch takes some of them back. A log entry makes a batch valid: it names the batch's folder
+and is created under the next number, which only one of several committers can get; the others take back anew and try
+the number after it. A batch that the log has is not applied again, and what a failed attempt left is never read.
+Compaction nets all batches into one.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import slices, text_bytes
+from spindrel.llm.common import release, remove, slices, small_or_shuffled, staged, text_bytes
 from spindrel.llm.words import SPACED, spans
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 GROUP = ["source", "lang", "tokenizer"]
 DOC = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
-COUNTED = "doc_id long, source string, lang string, tokenizer string, tokens long"
+SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
+#: Committers that may come in between before a commit gives up.
+ATTEMPTS = 100
 
 _encodings: dict[str, object] = {}
 
@@ -55,19 +62,25 @@ def _count(tokenizers):
                 else:
                     encoding = _encoding(name, data, pattern)
                     tokens = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * batch.num_rows, pa.string()), pa.array(tokens, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * n, pa.string()), pa.array([1] * n, pa.int64()), pa.array(tokens, pa.int64())], names=[c.split()[0] for c in DOC.split(", ")])
+        release()
 
     return run
 
 
 def counted(docs: DataFrame, tokenizers: dict[str, tuple[str, bytes, str]]) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens: whole texts under each tokenizer version. A null text has 0 tokens."""
+    """doc_id, source, lang, tokenizer, docs (1), tokens: whole texts under each tokenizer version. A null text has 0 tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(_count(shared), COUNTED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_count(shared), DOC)
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
 class Ledger:
-    """A folder with one sub-folder for each committed batch."""
+    """A folder with written batches in `data` and their log in `log`."""
 
     def __init__(self, spark: SparkSession, where: str, tokenizers: dict[str, tuple[str, bytes, str]]) -> None:
         self.spark, self.where, self.tokenizers = spark, where.rstrip("/"), tokenizers
@@ -76,57 +89,106 @@ class Ledger:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _folder(self, batch: str) -> str:
-        if not batch.replace("-", "").replace("_", "").isalnum():
-            raise ValueError(f"a batch id has letters, digits, - and _ only: {batch!r}")
-        return f"{self.where}/batch={batch}"
-
-    def committed(self, batch: str) -> bool:
-        fs, path = self._path(f"{self._folder(batch)}/_SUCCESS")
-        return fs.exists(path)
+    def _log(self) -> tuple[int, list[dict]]:
+        """(last number, entries of the last compaction and all after it). An entry cut short is void."""
+        fs, path = self._path(f"{self.where}/log")
+        if not fs.exists(path):
+            return 0, []
+        numbers = sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit())
+        entries: list[dict] = []
+        for n in reversed(numbers):
+            stream = self._path(f"{self.where}/log/{n:012d}")
+            reader = stream[0].open(stream[1])
+            try:
+                text = bytes(reader.readAllBytes()).decode()
+            finally:
+                reader.close()
+            if text.endswith("\n"):
+                entries.append(json.loads(text))
+                if entries[-1]["compacts"]:
+                    break
+        return (numbers[-1] if numbers else 0), entries[::-1]
+
+    def _publish(self, number: int, entry: dict) -> bool:
+        """Creates the log entry of this number; False if another committer has it."""
+        fs, path = self._path(f"{self.where}/log/{number:012d}")
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or fs.exists(path):
+                return False
+            raise
+        stream.write(bytearray((json.dumps(entry) + "\n").encode()))
+        stream.close()
+        return True
 
     def batches(self) -> list[str]:
         """Ids of all committed batches."""
-        fs, path = self._path(self.where)
-        if not fs.exists(path):
-            return []
-        return sorted(f.getPath().getName()[6:] for f in fs.listStatus(path) if self.committed(f.getPath().getName()[6:]))
+        return sorted(b for e in self._log()[1] for b in e["batches"])
+
+    def _read(self, entries: list[dict], what: str, schema: str) -> DataFrame:
+        folders = [f for e in entries for f in e[what]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def deltas(self) -> DataFrame:
-        """The signed rows of all committed batches."""
-        folders = [self._folder(b) for b in self.batches()]
-        return self.spark.read.schema(DOC).parquet(*folders) if folders else self.spark.createDataFrame([], DOC)
+    def documents(self) -> DataFrame:
+        """The signed document rows of all committed batches."""
+        return self._read(self._log()[1], "docs", DOC)
 
-    def commit(self, batch: str, events: DataFrame) -> bool:
-        """Applies a batch of events (doc_id, op, source, lang, text; and seq, if rows of a doc_id have an order) once.
+    def commit(self, batch: str, events: DataFrame, order: str | None = None) -> bool:
+        """Applies a batch of events (doc_id, op, source, lang, text) once; whether it was applied now.
 
-        insert adds a document; revise takes back all that the ledger has of it and adds it anew, as an insert does
-        where the document is known; delete takes back all. Of several events of a doc_id in the batch the last by
-        seq counts, else a delete, else the greatest text. A delete of an unknown document changes nothing. Rows with
-        a null doc_id or another op are an error of the whole batch. Returns whether it was applied now.
+        insert and revise put the batch's rows of a doc_id in the place of all that the ledger has of it; delete takes
+        back all. Several rows of a doc_id are all its rows, unless `order` names a column: then only those that are
+        greatest by it count. If a delete is among those that count, the doc_id goes. A delete of an unknown document
+        changes nothing. Rows with a null doc_id are documents that nothing takes back; deleting them, or another op,
+        is an error of the whole batch. Null source or lang are groups of their own. Other columns are not read.
         """
-        if self.committed(batch):
+        if not batch.replace("-", "").replace("_", "").isalnum():
+            raise ValueError(f"a batch id has letters, digits, - and _ only: {batch!r}")
+        if batch in self.batches():
             return False
-        known = F.coalesce(F.col("op").isin(INSERT, DELETE, REVISE), F.lit(False)) & F.col("doc_id").isNotNull()
+        events = events.withColumn("doc_id", F.col("doc_id").cast("long"))
+        known = F.coalesce(F.col("op").isin(INSERT, DELETE, REVISE), F.lit(False)) & (F.col("doc_id").isNotNull() | (F.col("op") != DELETE))
         if not events.where(~known).isEmpty():
-            raise ValueError("a batch has events without doc_id or with an unknown op")
-        order = [F.desc("seq")] if "seq" in events.columns else []
-        row = Window.partitionBy("doc_id").orderBy(*order, F.col("op") == DELETE, F.desc("op"), F.desc("text"), "source", "lang")
-        last = events.withColumn("_n", F.row_number().over(row)).where("_n = 1").drop("_n") if not self._unique(events) else events
-        new = counted(last.where(F.col("op") != DELETE), self.tokenizers).withColumn("docs", F.lit(1).cast("long")).select(*[c.split()[0] for c in DOC.split(", ")])
-        out = new
-        if self.batches():
-            ids = last.select(F.col("doc_id").cast("long").alias("doc_id"))
-            old = self.deltas().join(ids, "doc_id", "left_semi").groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-            out = new.unionByName(old.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
-        out.write.mode("overwrite").parquet(self._folder(batch))
-        return True
-
-    @staticmethod
-    def _unique(events: DataFrame) -> bool:
-        """Whether no doc_id has two events: then no row needs to move with its text."""
-        return events.groupBy("doc_id").count().where("count > 1").isEmpty()
+            raise ValueError("a batch has an unknown op, or a delete without doc_id")
+        folder = f"{self.where}/data/{batch}-{uuid.uuid4().hex}"
+        if order:
+            last = staged(events.where("doc_id is not null").groupBy("doc_id").agg(F.max(order).alias("_last")), "last-events")
+            events = events.join(small_or_shuffled(last), "doc_id", "left").where(F.col("doc_id").isNull() | F.col(order).eqNullSafe(F.col("_last")))
+        ids = staged(events.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("op") == DELETE).alias("gone")), "event-ids")
+        gone = ids.where("gone").select("doc_id")
+        stays = events if gone.isEmpty() else events.join(small_or_shuffled(gone), "doc_id", "left_anti")
+        counted(stays.where(F.col("op") != DELETE), self.tokenizers).write.parquet(f"{folder}/new")
+        new = self._read([{"docs": [f"{folder}/new"]}], "docs", DOC)
+        for _ in range(ATTEMPTS):
+            number, entries = self._log()
+            if any(batch in e["batches"] for e in entries):
+                return False
+            docs, rollup = [f"{folder}/new"], f"{folder}/rollup-{number}"
+            delta = new
+            if entries:
+                taken = _summed(self._read(entries, "docs", DOC).join(small_or_shuffled(ids.select("doc_id")), "doc_id", "left_semi"), ["doc_id", *GROUP])
+                docs.append(f"{folder}/taken-{number}")
+                taken.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")).write.parquet(docs[1])
+                delta = self._read([{"docs": docs}], "docs", DOC)
+            _summed(delta, GROUP).write.parquet(rollup)
+            if self._publish(number + 1, {"batches": [batch], "docs": docs, "rollup": [rollup], "compacts": False}):
+                return True
+        remove(self.spark, folder)
+        raise RuntimeError(f"{ATTEMPTS} other commits came in between")
+
+    def compact(self) -> bool:
+        """Nets all batches into one; False if another commit came in between (nothing has changed then)."""
+        number, entries = self._log()
+        folder = f"{self.where}/data/compacted-{uuid.uuid4().hex}"
+        _summed(self._read(entries, "docs", DOC), ["doc_id", *GROUP]).write.parquet(f"{folder}/docs")
+        _summed(self._read(entries, "rollup", SUMS), GROUP).write.parquet(f"{folder}/rollup")
+        entry = {"batches": [b for e in entries for b in e["batches"]], "docs": [f"{folder}/docs"], "rollup": [f"{folder}/rollup"], "compacts": True}
+        if self._publish(number + 1, entry):
+            return True
+        remove(self.spark, folder)
+        return False
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens: sums of all committed deltas; groups without documents are left out."""
-        return self.deltas().groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        """source, lang, tokenizer, docs, tokens: sums of the committed batches' rollups; groups without documents are left out."""
+        return _summed(self._read(self._log()[1], "rollup", SUMS), GROUP)
