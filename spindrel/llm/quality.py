@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.llm import words as W
-from spindrel.llm.common import slices, text_bytes
+from spindrel.llm.common import slices, staged, text_bytes
 
-#: The model is fitted on at most this many labelled rows, those with the least hash of doc_id.
-TRAIN_ROWS = 4000
+#: The model is fitted on at most this many labelled documents, those with the least hash of doc_id, and on as many of
+#: them as have features of so many bytes together.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 256 << 20
 #: Feature slots, and the factor of all feature values.
 SLOTS, SCALE = 1 << 18, 20.0
 
@@ -117,7 +118,11 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, alp
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of each document once a task."""
+    seen: set[int] = set()
     for batch in batches:
+        fresh = [k for k, d in enumerate(batch.column("doc_id").to_pylist()) if d not in seen and not seen.add(d)]
+        batch = batch.take(pa.array(fresh, pa.int64()))
         data, offsets = text_bytes(batch.column("text"))
         slots, values = [], []
         for i, j in slices(offsets, W.CHUNK):
@@ -128,7 +133,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slot, count = np.unique(np.concatenate([x[a:b] for x in every]), return_counts=True)
                 slots.append(slot.astype(np.int32).tobytes())
                 values.append((SCALE * count / max(1, b - a)).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["order", "label", "slots", "values"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "order", "label")), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "order", "label", "slots", "values"])
 
 
 def held_out(doc_id):
@@ -137,16 +142,23 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """A model of the labelled rows that aren't held out, at most `rows` of them; null labels are left out.
+    """A model of the labelled rows that aren't held out, at most `rows` documents; null labels are left out.
 
-    Of a doc_id with several labels the least counts. Without any label all scores are 0.5.
+    Of a doc_id with several labels the least counts, of one with several texts that with the least hash. Without any
+    label all scores are 0.5.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = chosen.withColumn("order", order).orderBy("order", "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = texts.select("order", "label", "text").mapInArrow(_examples, "order long, label int, slots binary, values binary").collect()
-    found.sort(key=lambda r: (r["order"], bytes(r["slots"])))
+    one = staged(texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("hash")), "training-texts")
+    texts = texts.join(F.broadcast(one), "doc_id").where(F.xxhash64("text") == F.col("hash"))
+    each = texts.select("doc_id", "order", "label", "text").mapInArrow(_examples, "doc_id long, order long, label int, slots binary, values binary")
+    each = staged(each.groupBy("doc_id", "order", "label").agg(F.first(F.struct("slots", "values")).alias("f")).select("doc_id", "order", "label", "f.*"), "training-rows")
+    sizes = sorted(tuple(r) for r in each.select("order", "doc_id", F.length("slots") + F.length("values")).collect())  # at most `rows`
+    fit_in = np.searchsorted(np.cumsum([n for _, _, n in sizes]), TRAIN_BYTES, side="right")
+    found = each.where(F.col("order") <= sizes[fit_in - 1][0]).collect() if fit_in else []
+    found.sort(key=lambda r: (r["order"], r["doc_id"]))
     return fit([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32).astype(float), int(r["label"] > 0)) for r in found])
 
 
@@ -162,7 +174,11 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    A null or empty text gets the score of the bias alone. Rows that repeat an id are each scored by their own text; a
+    null id is not held out. Texts are scored whole; columns of docs with the names of the result are not read.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), scorer(docs, model)(F.col(text_col)).alias("score"))
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
