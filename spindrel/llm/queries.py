@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.llm import exact, hostpaths, parminhash, quality, rollup, sigtree, suffix, transcript, warc, wfst
-from spindrel.llm.common import scratch, staged
+from spindrel.llm.common import scratch, small_or_shuffled, staged
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece_wfst(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Token counts and id digests of every document's whole text, and whether the ids decode to it."""
     return wfst.tokenised(_table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model", with_ids=False)
 
 
@@ -45,12 +46,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """All documents as one batch, delivered twice; the totals count it once."""
+    """Counts of all documents, after a history of four batches that are all delivered twice.
+
+    All rows with an id come in under the source "intake"; a revision of all rows, those without an id included, gives
+    them their own source; documents that are labelled toxic are withdrawn, and put back after review.
+    """
     versions = {"byte_bpe_50k": ("ranks", rollup.rank_tokenizer(f"{tokenizers}/byte_bpe_50k.tiktoken"), BYTE_PATTERN), "words_v1": ("words", b"", "")}
     ledger = rollup.Ledger(spark, scratch(spark, "ledger"), versions)
-    events = _table(spark, sf_dir, "documents").withColumn("op", F.lit(rollup.INSERT))
-    for _ in range(2):
-        ledger.commit("documents-1", events)
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
+    labels = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    toxic = docs.join(small_or_shuffled(labels), "doc_id", "left_semi")
+    history = {
+        "intake": docs.where("doc_id is not null").withColumns({"op": F.lit(rollup.INSERT), "source": F.lit("intake")}),
+        "sources": docs.withColumn("op", F.lit(rollup.REVISE)),
+        "withdrawn": toxic.withColumns({"op": F.lit(rollup.DELETE), "text": F.lit(None).cast("string")}),
+        "put-back": toxic.withColumn("op", F.lit(rollup.INSERT)),
+    }
+    for name, events in history.items():
+        for _ in range(2):
+            ledger.commit(name, events)
     return ledger.totals()
 
 
@@ -66,9 +80,14 @@ def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = staged(transcript.marked_lines(_table(spark, sf_dir, "conversations")), "transcripts")
-    turns = transcript.canonical_turns(transcript.recovered(lines, transcript.train(lines)))
-    return turns.select("conv_id", "turn_no", "role", "n_lines", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    """Turns recovered from rough transcripts of all conversations, by a model of those that aren't held out.
+
+    The transcripts are the table's turns, a fifth of them without a marker, with misleading lines.
+    """
+    lines = staged(transcript.marked_lines(_table(spark, sf_dir, "conversations"), rough=True), "transcripts")
+    model = transcript.train(lines.where(~transcript.held_out("conv_id")))
+    turns = transcript.canonical_turns(transcript.recovered(lines.select("conv_id", "line_no", "line"), model))
+    return turns.select("conv_id", transcript.held_out("conv_id").alias("held_out"), "turn_no", "role", "n_lines", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 def op10_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:

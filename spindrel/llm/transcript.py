@@ -1,7 +1,8 @@
 """Chat formatting from raw transcripts: a hidden Markov model over lines, then canonical turns.
 
-A state is a role and whether a line begins a turn or goes on with it; a line is seen as its speaker marker and its
-shape. Transition and emission counts are added up over all labelled lines in Spark. Roles are recovered by Viterbi.
+A state is a role and whether a line begins a turn or goes on with it; a line is seen as the name before its colon or
+bracket (by hash: which names speak for which role is learnt) and, on its own, the shape of the rest. Transition and emission counts are added
+up over all labelled lines in Spark. Roles are recovered by Viterbi, of turns without a marker as well.
 Long transcripts are cut into segments: each segment is a max-plus matrix, a conversation combines its segments'
 matrices to the states at the cuts, and every segment is then solved between its two cut states. So no task holds
 more lines than a segment, and a conversation's task holds one small matrix for SEGMENT lines.
@@ -10,6 +11,7 @@ more lines than a segment, and a conversation's task holds one small matrix for
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,41 +26,59 @@ ROLES = ("system", "user", "assistant")
 #: Begin and continue states, by role.
 STATES = [(r, b) for r in ROLES for b in (True, False)]
 SEGMENT = 512
-#: Speaker names of each role, in lower case.
-SPEAKERS = {"system": ("system", "instructions", "context"), "user": ("user", "human", "q", "customer", "prompt"), "assistant": ("assistant", "ai", "bot", "a", "agent", "model", "answer")}
-_ROLE_OF = {name: role for role, names in SPEAKERS.items() for name in names}
-_MARKER = re.compile(r"\s*(?:[#>*\[<(|-]+\s*)?\**([A-Za-z]{1,14})\**\s*([\]:>)|]+|$)\**\s*")
-SHAPES = 12
-SYMBOLS = 5 * SHAPES
-BLOCK_TURNS = 1024
+#: Hash values of a marker's name and the signs before it, 0 for none; shapes: length in steps, and a question mark.
+MARKS, SHAPES, STEP = 64, 62, 30
+SYMBOLS = MARKS * SHAPES
+_MARKER = re.compile(r"\s*((?:[#>*\[<(|-]+\s*)?\**[A-Za-z]{1,14})\**\s*[\]:>)|]+\**\s*")
+BLOCK_TURNS, BLOCK_LINES = 1024, 4096
+
+
+def mark(line: str) -> int:
+    found = _MARKER.match(line)
+    return 1 + zlib.crc32(found[1].lower().encode()) % (MARKS - 1) if found else 0
 
 
 def symbol(line: str) -> int:
-    """Marker (none, one for each role, other) and shape (length class, question mark) of a line."""
+    """Marker of a line and shape of the rest."""
     found = _MARKER.match(line)
-    mark = 0
-    if found and (found[2] or found.end() == len(line)):
-        role = _ROLE_OF.get(found[1].lower())
-        mark = 1 + ROLES.index(role) if role else 4 if found[2] else 0
-    size = min(5, len(line).bit_length() // 2)
-    return mark * SHAPES + 2 * size + ("?" in line)
+    rest = len(line) - (found.end() if found else 0)
+    return mark(line) * SHAPES + 2 * min(SHAPES // 2 - 1, rest // STEP) + ("?" in line)
 
 
 def unmarked(line: str) -> str:
-    """The line without its speaker marker."""
+    """The line without its marker."""
     found = _MARKER.match(line)
-    return line[found.end() :] if found and found[2] and found[1].lower() in _ROLE_OF else line
+    return line[found.end() :] if found else line
+
+
+def speakers(emission: np.ndarray) -> np.ndarray:
+    """Whether each mark is a speaker's: likelier where a turn begins than where it goes on, in some role."""
+    each = np.exp(emission).reshape(len(STATES), MARKS, SHAPES).sum(2)
+    begins = np.array([b for _, b in STATES])
+    names = each[begins].max(0) > each[~begins].max(0)
+    names[0] = False
+    return names
+
+
+def held_out(conv_id: str):
+    """crc32(conv_id as text) mod 3 is 1: such conversations never train. False for a null conv_id."""
+    return F.coalesce(F.crc32(F.col(conv_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def marked_lines(turns: DataFrame) -> DataFrame:
+def marked_lines(turns: DataFrame, rough: bool = False) -> DataFrame:
     """Raw transcripts from turns (conv_id, turn, role, text): conv_id, line_no, line, and the true role and begins.
 
-    The marker style depends on the conversation. A null text is an empty line, a null or unknown role "user".
+    The marker style depends on the conversation. If rough, a fifth of the turns (but a conversation's first) have no
+    marker, and a tenth of the lines inside turns begin with what looks like one: a heading, or a quoted speaker. Which
+    ones follows from hashes. A null text is an empty line, a null or unknown role "user", a null turn 0, and all turns
+    without a conv_id are one conversation. Turns that repeat a number are all there. Other columns are not read.
     """
     role = F.when(F.lower("role").isin(*ROLES), F.lower("role")).otherwise("user")
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     name = F.when((style == 1) & (role == "user"), "Human").when((style == 1) & (role == "assistant"), "AI").otherwise(F.initcap(role))
     mark = F.when(style == 2, F.concat(F.lit("["), F.lower(name), F.lit("] "))).when(style == 3, F.concat(F.lit("### "), name, F.lit(": "))).otherwise(F.concat(name, F.lit(": ")))
+    if rough:
+        mark = F.when((F.coalesce("turn", F.lit(0)) > 0) & (F.pmod(F.xxhash64("conv_id", "turn", F.lit(1)), F.lit(5)) == 0), "").otherwise(mark)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), role.alias("role"), F.split(F.concat(mark, F.coalesce("text", F.lit(""))), "\n").alias("lines"))
     rows = rows.withColumns({"uid": F.monotonically_increasing_id(), "block": F.floor(F.col("turn") / BLOCK_TURNS)})
     rows = staged(rows, "turns")
@@ -69,7 +89,12 @@ def marked_lines(turns: DataFrame) -> DataFrame:
     inside = F.sum(F.size("lines")).over(Window.partitionBy("conv_id", "block").orderBy("turn", "uid").rowsBetween(Window.unboundedPreceding, -1))
     slim = rows.select("uid", "conv_id", "block", "turn", "lines").withColumn("inside", F.coalesce(inside, F.lit(0))).drop("turn", "lines")
     start = slim.join(blocks, [slim.conv_id.eqNullSafe(blocks.conv_id), slim.block == blocks.block]).select("uid", (F.col("base") + F.col("inside")).alias("start"))
-    return rows.join(start, "uid").select("conv_id", "role", "start", F.posexplode("lines").alias("k", "line")).select("conv_id", (F.col("start") + F.col("k")).cast("long").alias("line_no"), "line", "role", (F.col("k") == 0).alias("begins"))
+    out = rows.join(start, "uid").select("conv_id", "role", "start", F.posexplode("lines").alias("k", "line"))
+    line = F.col("line")
+    if rough:
+        chance = F.pmod(F.xxhash64("conv_id", "start", "k", F.lit(2)), F.lit(20))
+        line = F.when((F.col("k") > 0) & (chance == 0), F.concat(F.lit("Note: "), line)).when((F.col("k") > 0) & (chance == 1), F.concat(F.lit("> User: "), line)).otherwise(line)
+    return out.select("conv_id", (F.col("start") + F.col("k")).cast("long").alias("line_no"), line.alias("line"), "role", (F.col("k") == 0).alias("begins"))
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,18 +108,25 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, transition, emission) log probabilities, counted over all labelled lines with add-half smoothing.
+    """(start, transition, emission) log probabilities, counted over all labelled lines and smoothed.
 
     Only fixed-size count tables come to the driver.
     """
-    emission = np.full((len(STATES), SYMBOLS), 0.5)
+    names, shapes = np.full((len(STATES), MARKS), 0.1), np.full((len(STATES), SHAPES), 0.5)
     for s, x, n in lines.select("line", "role", "begins").mapInArrow(_observed, "state int, symbol int, n long").groupBy("state", "symbol").agg(F.sum("n")).collect():
-        emission[s, x] += n
+        names[s, x // SHAPES] += n
+        shapes[s, x % SHAPES] += n
+    emission = (names / names.sum(1, keepdims=True))[:, :, None] * (shapes / shapes.sum(1, keepdims=True))[:, None]
+    emission = emission.reshape(len(STATES), SYMBOLS)
     move = np.full((len(STATES), len(STATES)), 0.5)
     start = np.full(len(STATES), 0.5)
-    turns = lines.where("begins").select("conv_id", "line_no", "role")
-    follows = F.lag("role").over(Window.partitionBy("conv_id").orderBy("line_no"))
-    for a, b, n in turns.withColumn("last", follows).groupBy("last", "role").count().collect():
+    # A turn's role after the last one's: within blocks of lines, then over the blocks that have turns.
+    turns = lines.where("begins").select("conv_id", "line_no", "role", F.floor(F.col("line_no") / BLOCK_LINES).alias("block"))
+    follows = F.lag("role").over(Window.partitionBy("conv_id", "block").orderBy("line_no"))
+    inner = turns.withColumn("last", follows)
+    ends = turns.groupBy("conv_id", "block").agg(F.min_by("role", "line_no").alias("role"), F.max_by("role", "line_no").alias("end"))
+    outer = ends.withColumn("last", F.lag("end").over(Window.partitionBy("conv_id").orderBy("block")))
+    for a, b, n in inner.where("last is not null").select("last", "role").unionByName(outer.select("last", "role")).groupBy("last", "role").count().collect():
         if a is None:
             start[STATES.index((b, True))] += n
         else:
@@ -110,7 +142,7 @@ def train(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 move[a, b] = 0  # a turn goes on in its own role only
     start[[k for k, (_, b) in enumerate(STATES) if not b]] = 0.01
     with np.errstate(divide="ignore"):
-        return np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emission / emission.sum(1, keepdims=True))
+        return np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emission)
 
 
 def viterbi(symbols: np.ndarray, first: np.ndarray, move: np.ndarray, emission: np.ndarray, last: int | None = None) -> tuple[float, list[int]]:
@@ -200,6 +232,7 @@ def _entered(model):
 def _solved(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emission = model.value
+        names = speakers(emission)
         out: list[tuple] = []
         for (conv, seg), rows in _grouped(batches, 2):
             symbols = np.array([symbol(r[1]) for r in rows])
@@ -207,7 +240,7 @@ def _solved(model):
             _, path = viterbi(symbols, start if enter is None or enter < 0 else move[enter], move, emission, leave)
             for (line_no, line, _, _), state in zip(rows, path, strict=True):
                 role, begins = STATES[state]
-                out.append((conv, seg, line_no, role, begins or (seg == 0 and line_no == rows[0][0]), unmarked(line) if begins else line))
+                out.append((conv, seg, line_no, role, begins or (seg == 0 and line_no == rows[0][0]), unmarked(line) if begins and names[mark(line)] else line))
             if len(out) >= 5000:
                 yield _lines(out)
                 out = []
@@ -225,7 +258,8 @@ def _lines(out: list[tuple]) -> pa.RecordBatch:
 def recovered(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], segment: int = SEGMENT) -> DataFrame:
     """conv_id, line_no, turn_no, role, begins, line (without its marker) of each line (conv_id, line_no, line).
 
-    line_no must count from 0 without gaps in each conversation. A null conv_id is a conversation of its own.
+    line_no must count from 0 without gaps in each conversation. All lines with a null conv_id are one conversation.
+    Lines are read whole, whatever their length. A marker is taken off where a turn begins and the model knows it.
     """
     spark = lines.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -257,7 +291,8 @@ def recovered(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def canonical_turns(lines: DataFrame) -> DataFrame:
-    """conv_id, turn_no, role, n_lines, rendered: each recovered turn as <|im_start|>role, its text, <|im_end|>."""
+    """conv_id, turn_no, role, n_lines, rendered: each recovered turn as <|im_start|>role, its text, <|im_end|>. A turn's
+    text is one value, so its lines meet in one row."""
     turns = lines.groupBy("conv_id", "turn_no").agg(F.min_by("role", "line_no").alias("role"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
     text = F.array_join(F.col("all.line"), "\n")
     return turns.select("conv_id", "turn_no", "role", "n_lines", F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), text, F.lit("<|im_end|>\n")).alias("rendered"))
