@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -15,14 +16,14 @@ RELEVANT = 2.0
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """Cells of the approximate index, and how many a query visits."""
+    """Cells of the approximate index (0: about the square root of the rows), at most `sample`, and how many a query visits."""
 
-    cells: int = 16
+    cells: int = 0
     probes: int = 12
-    sample: int = 100_000
+    sample: int = 16_384
 
     def __post_init__(self) -> None:
-        if self.cells < 1 or self.probes < 1 or self.probes > self.cells or self.sample < self.cells:
+        if self.cells < 0 or self.probes < 1 or (self.cells and not self.probes <= self.cells <= self.sample):
             raise ConfigurationError("an index needs 1 <= probes <= cells <= sample")
 
 
@@ -61,6 +62,25 @@ def check_name(name: str, prefix: str) -> str:
     return name
 
 
+def frozen(path: str) -> dict:
+    """The frozen parameters of a run: a JSON file, or YAML where a YAML reader is installed. A file of the driver."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            if path.endswith((".yaml", ".yml")):
+                import yaml
+
+                found = yaml.safe_load(f)
+            else:
+                found = json.load(f)
+    except ImportError as e:
+        raise ConfigurationError(f"{path}: no YAML reader is installed; use JSON") from e
+    except (OSError, ValueError) as e:
+        raise ConfigurationError(f"{path} can't be read: {e}") from e
+    if not isinstance(found, dict):
+        raise ConfigurationError(f"{path} holds no parameters")
+    return found
+
+
 def _number(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, "") or default)

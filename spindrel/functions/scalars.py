@@ -1,9 +1,16 @@
-"""Coercions, ids, texts and digests as column expressions. All stay in the JVM."""
+"""Coercions, ids, texts and digests: column expressions in the JVM, but for the digest of many texts."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from spindrel.errors import CompositionError
 
 #: Tokens that mean "missing", words of flags, the UUID name space of record ids (DNS, RFC 4122), prefixes.
 MISSING = ("nan", "none", "null", "<na>")
@@ -50,7 +57,7 @@ def default_locale(c: Column, locale: str = "es") -> Column:
 
 
 def compose(strategy: str, title: Column, brand: Column, color: Column, text: Column) -> Column:
-    """The text that is encoded. An empty result is an error for the caller to count."""
+    """The text that is encoded; require_composed refuses empty ones."""
     part = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
     if strategy == "raw_text":
         return strip(F.coalesce(F.nullif(text, F.lit("")), title))
@@ -61,6 +68,18 @@ def compose(strategy: str, title: Column, brand: Column, color: Column, text: Co
     raise ValueError(f"no such strategy: {strategy}")
 
 
+def require_composed(rows: DataFrame, composed: str) -> DataFrame:
+    """rows, if no composed text is empty."""
+    if not rows.where(F.coalesce(F.col(composed), F.lit("")) == "").isEmpty():
+        raise CompositionError("a row has nothing to compose a text from")
+    return rows
+
+
+def title_prefix(title: Column, size: int = 80) -> Column:
+    """The first characters of a title, for reports."""
+    return F.substring(title, 1, size)
+
+
 def is_e5(model: Column) -> Column:
     return model.rlike(r"(?i)(^|[/_-])e5([-_.]|$)")
 
@@ -72,9 +91,32 @@ def apply_prefix(text: Column, role: str, model: Column) -> Column:
 
 
 def texts_digest(rows: DataFrame, position: str, text: str, groups: list[str] | None = None) -> DataFrame:
-    """SHA-256 of each text's own digest, in order of position: one short digest a row is gathered, not the texts."""
-    each = F.struct(F.col(position).alias("p"), F.sha2(F.concat(F.col(text), F.lit("\0")), 256).alias("d"))
-    return rows.groupBy(*(groups or [])).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["d"]), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n_texts"))
+    """Groups, digest and n_texts: SHA-256 over each text and a NUL, in order of position.
+
+    A digest reads its texts one after another, so a group's texts pass through one task, as a sorted stream.
+    """
+    names = groups or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, n, done = None, hashlib.sha256(), 0, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, value in zip(*columns[: len(names)], columns[-1], strict=True):
+                if n and key != now:
+                    done.append((*now, sha.hexdigest(), n))
+                    sha, n = hashlib.sha256(), 0
+                now, n = key, n + 1
+                sha.update((value or "").encode() + b"\0")
+        if n:
+            done.append((*now, sha.hexdigest(), n))
+        kinds = [*schema[:-2], pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], kind) for c, kind in enumerate(kinds)], names=[*names, "digest", "n_texts"])
+
+    slim = rows.select(*names, F.col(position).alias("_position"), F.col(text).alias("_text"))
+    schema = [*to_arrow_schema(slim.select(*names).schema).types, None, None] if names else [None, None]
+    dealt = (slim.repartition(*names) if names else slim.repartition(1)).sortWithinPartitions(*names, "_position")
+    out = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in names), "digest string, n_texts long"])
+    return dealt.mapInArrow(run, out)
 
 
 def split_list(c: Column) -> Column:

@@ -37,9 +37,30 @@ DUPLICATE_CONTRACT = {
 }
 
 
+METRICS_CONTRACT = {
+    "mean outside 0 to 1": "not (coalesce(mean_ndcg, -1) between 0 and 1 and coalesce(mean_recall, -1) between 0 and 1 and coalesce(mean_mrr, -1) between 0 and 1)",
+    "no queries": "coalesce(n_queries, 0) < 1",
+}
+
+
+def recheck(search: DataFrame, decisions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """artifact, n_rows, n_groups, n_positive, n_broken of the artifacts as read back: a row each.
+
+    n_groups counts queries or listings, n_positive predicted duplicates, n_broken rows that break the contract.
+    """
+    broken = lambda c: F.count_if(F.coalesce(F.expr(" or ".join(f"coalesce({x}, false)" for x in c.values())), F.lit(False)))
+    one = lambda name, rows, group, positive, contract: rows.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(group).alias("n_groups"), positive.alias("n_positive"), broken(contract).alias("n_broken"))
+    none = F.lit(0).cast("long")
+    out = one("search", search, "evaluation_id", none, SEARCH_CONTRACT)
+    out = out.unionByName(one("duplicates", decisions, "incoming_id", F.count_if("predicted_duplicate"), DUPLICATE_CONTRACT))
+    return out.unionByName(one("metrics", metrics, "n_queries", none, METRICS_CONTRACT))
+
+
 def violations(rows: DataFrame, contract: dict[str, str]) -> DataFrame:
     """rule, n: how many rows break each rule, in one pass."""
     names = list(contract)
+    if not names:
+        return rows.sparkSession.createDataFrame([], "rule string, n long")
     counted = rows.agg(*[F.count_if(F.coalesce(F.expr(contract[n]), F.lit(False))).alias(f"r{i}") for i, n in enumerate(names)])
     pairs: list[Column] = [F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("n")) for i, n in enumerate(names)]
     return counted.select(F.inline(F.array(*pairs)))

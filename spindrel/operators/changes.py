@@ -5,10 +5,13 @@ Events: sequence (1 and up, without gaps), key, op (UPSERT or DELETE), title. Ba
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrel.errors import EventError
+from spindrel.operators.encoding import Encoder
+from spindrel.operators.vector import exact_topk
+from spindrel.workspace import staged
 
 ADDED, UPDATED, REMOVED = "alta", "actualizacion", "baja"
 
@@ -72,14 +75,70 @@ def idempotence(events: DataFrame, base: DataFrame) -> DataFrame:
     return differences(once, final_state(events, once))
 
 
-def probes(events: DataFrame, base: DataFrame) -> DataFrame:
-    """The first event of each kind, checked against the state: the title must be the last one, a removed key absent.
+def first_of_kind(events: DataFrame, base: DataFrame) -> DataFrame:
+    """kind, sequence, key, op, title of the first event of each kind.
 
     A removal of an absent key is no probe, and doesn't use up its kind.
     """
     kinds = classify(events, base).where((F.col("op") == "UPSERT") | F.col("effective"))
-    first = kinds.groupBy("kind").agg(F.min_by(F.struct("sequence", "key", "op", "title"), "sequence").alias("e")).select("kind", "e.*")
+    return kinds.groupBy("kind").agg(F.min_by(F.struct("sequence", "key", "op", "title"), "sequence").alias("e")).select("kind", "e.*")
+
+
+def probes(events: DataFrame, base: DataFrame) -> DataFrame:
+    """The first event of each kind, checked right after it: the title must be the event's, a removed key absent."""
+    first = first_of_kind(events, base)
     upto = events.join(F.broadcast(first.select(F.col("sequence").alias("_until"), "key", "kind")), "key").where("sequence <= _until")
     seen = upto.groupBy("kind", "key").agg(F.max_by(F.struct("op", "title"), "sequence").alias("s"))
     visible = F.when(F.col("op") == "DELETE", F.col("s.op") == "DELETE").otherwise((F.col("s.op") == "UPSERT") & F.col("s.title").eqNullSafe(F.col("title")))
     return first.join(seen, ["kind", "key"]).select("kind", "sequence", "key", visible.alias("visible"))
+
+
+def described(key: Column, title: Column) -> Column:
+    """What a state's row is searched by."""
+    return F.concat_ws(" ", F.concat(F.lit("key"), key.cast("string")), title)
+
+
+def search_probes(events: DataFrame, base: DataFrame, encoder: Encoder, k: int = 5) -> DataFrame:
+    """kind, sequence, key, found, visible: the same probes by search in the state right after the event.
+
+    A written key is visible if it is among the k best for its new text; a removed one, if it isn't among those for the
+    text it had.
+    """
+    out = None
+    for probe in first_of_kind(events, base).collect():  # three kinds at most
+        upto = final_state(events.where(F.col("sequence") <= probe["sequence"]), base).withColumnRenamed("key", "product_id")
+        before = final_state(events.where(F.col("sequence") < probe["sequence"]), base).where(F.col("key") == probe["key"])
+        asked = before if probe["op"] == "DELETE" else events.where(F.col("sequence") == probe["sequence"])
+        rows = encoder.encode(upto.select("product_id", described(F.col("product_id"), F.col("title")).alias("text")), "product_id", "text")
+        query = encoder.encode(asked.select(F.col("key").alias("query_id"), described(F.col("key"), F.col("title")).alias("text")), "query_id", "text")
+        found = exact_topk(query, rows, k).agg(F.coalesce(F.bool_or(F.col("product_id") == probe["key"]), F.lit(False)).alias("found"))
+        visible = ~F.col("found") if probe["op"] == "DELETE" else F.col("found")
+        row = found.select(F.lit(probe["kind"]).alias("kind"), F.lit(probe["sequence"]).cast("long").alias("sequence"), F.lit(probe["key"]).cast("long").alias("key"), "found", visible.alias("visible"))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        out = events.sparkSession.createDataFrame([], "kind string, sequence long, key long, found boolean, visible boolean")
+    return out
+
+
+def report(events: DataFrame, base: DataFrame) -> DataFrame:
+    """One row: counts by kind, expected and found size of the state, whether they agree, whether a second run changes
+    anything, and how many of the probes by id are visible."""
+    state = final_state(events, base).agg(F.count(F.lit(1)).alias("n_state"))
+    twice = idempotence(events, base).select(((F.col("n_only_first") == 0) & (F.col("n_only_second") == 0)).alias("idempotent"))
+    seen = probes(events, base).agg(F.count(F.lit(1)).alias("n_probes"), F.count_if("visible").alias("n_visible"))
+    row = expected_count(events, base)
+    for part in (state, twice, seen):
+        row = row.join(F.broadcast(part))
+    return row.withColumn("count_matches", F.col("n_expected") == F.col("n_state"))
+
+
+def apply_events(events: DataFrame, base: DataFrame, twice: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(state, report) after a log without gaps; if twice, a second run that changes the state is an error."""
+    require_sequence(events)
+    state, found = staged(final_state(events, base), "state"), staged(report(events, base), "event-report")
+    row = found.first()
+    if not row["count_matches"]:
+        raise EventError(f"the state has {row['n_state']} rows; expected {row['n_expected']}")
+    if twice and not row["idempotent"]:
+        raise EventError("a second run changes the state")
+    return state, found

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.config import Settings
 from spindrel.errors import StoreError
 from spindrel.functions.scalars import positions
-from spindrel.operators.encoding import Encoder
+from spindrel.operators.encoding import Encoder, encode_role, provenance
 
 
 def status(collection: DataFrame, vector: str = "vector") -> DataFrame:
@@ -39,7 +41,7 @@ def batch_offsets(rows: DataFrame, order: str, size: int) -> DataFrame:
 
 
 class Collections:
-    """Collections as Parquet folders under a root, dealt by brand so that a brand's search reads its part only."""
+    """Collections as Parquet folders under a root, in ranges of brands: a brand's search skips files by their statistics."""
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings) -> None:
         self.spark, self.where, self.settings = spark, f"{root.rstrip('/')}/{settings.collection}", settings
@@ -58,10 +60,12 @@ class Collections:
         return self.spark.read.parquet(self.where)
 
     def write(self, rows: DataFrame, recreate: bool = False) -> None:
-        """A new collection; an existing one is replaced only if recreate is given."""
+        """A new collection of vectors of the settings' dimension; an existing one is replaced only if recreate is given."""
         if self.exists() and not recreate:
             raise StoreError("the collection exists")
-        rows.write.mode("overwrite").partitionBy("brand").parquet(self.where)
+        if not rows.where(~F.coalesce(F.size("vector") == self.settings.dimension, F.lit(False))).isEmpty():
+            raise StoreError(f"a vector hasn't {self.settings.dimension} dimensions")
+        rows.repartitionByRange("brand", "product_id").sortWithinPartitions("brand").write.mode("overwrite").parquet(self.where)
 
     def reset(self, confirmed: bool = False) -> None:
         if not self.settings.may_reset(confirmed):
@@ -70,10 +74,16 @@ class Collections:
         fs.delete(path, True)
 
     def ingest(self, catalog: DataFrame, encoder: Encoder, text: str = "text", recreate: bool = False) -> DataFrame:
-        """Encodes and writes a catalog, then verifies it; the report is one row."""
-        vectors = encoder.encode(catalog, "product_id", text)
+        """Encodes and writes a catalog with its provenance, then verifies it; the report is one row.
+
+        n_rows, dim_min, dim_max, distance, kilobytes, and model, batches, seconds.
+        """
+        began, model = time.perf_counter(), self.settings.model
+        vectors = provenance(encode_role(encoder, catalog, "product_id", text, "passage", model), model, "passage", encoder.dimension)
         self.write(catalog.drop(text).join(vectors, "product_id"), recreate)
-        return self.verify(catalog.count(), encoder.dimension)
+        rows = catalog.count()
+        report = self.verify(rows, encoder.dimension)
+        return report.withColumns({"model": F.lit(model), "batches": F.lit(-(-rows // self.settings.batch_size)), "seconds": F.lit(time.perf_counter() - began)})
 
     def verify(self, expected: int, dimension: int) -> DataFrame:
         report = status(self.read())

@@ -51,12 +51,24 @@ def class_stats(rows: DataFrame) -> DataFrame:
 
 
 def sweep(rows: DataFrame) -> DataFrame:
-    """Confusion counts at STEPS + 1 thresholds from the least to the greatest score."""
+    """Confusion counts at STEPS + 1 thresholds from the least to the greatest score.
+
+    Each row counts once, at the last threshold that it reaches; a threshold's counts are those of all later ones too.
+    """
     ends = rows.agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(STEPS))).alias("step"), F.round(F.col("low") + (F.col("high") - F.col("low")) * F.col("step") / float(STEPS), 9).alias("threshold"))
-    # A score counts for all thresholds up to it: no join of rows and thresholds of the whole table is held.
-    slim = rows.select("is_duplicate", "reference_id", "best_id", F.round("score", 9).alias("score"))
-    return _ratios(decide(slim.join(F.broadcast(grid)), F.col("threshold")).groupBy("step", "threshold").agg(*_counts()))
+    threshold = lambda step: F.round(F.col("low") + (F.col("high") - F.col("low")) * step / float(STEPS), 9)
+    grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(STEPS))).alias("step"), "low", "high").select("step", threshold(F.col("step")).alias("threshold"))
+    slim = rows.select("is_duplicate", "reference_id", "best_id", F.round("score", 9).alias("score")).join(F.broadcast(ends))
+    about = F.coalesce(F.floor((F.col("score") - F.col("low")) * STEPS / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(STEPS)).cast("int")
+    reached = [F.when((step >= 0) & (step <= STEPS) & (threshold(step) <= F.col("score")), step) for step in (about - 1, about, about + 1)]
+    last = F.when(F.col("best_id").isNotNull(), F.greatest(*reached))  # rounding may move a threshold by one place
+    truth = F.col("is_duplicate")
+    wrong = truth & F.col("reference_id").isNotNull() & (F.col("best_id") != F.col("reference_id"))
+    counted = slim.groupBy(F.coalesce(last, F.lit(-1)).alias("last")).agg(F.count_if(truth).alias("d"), F.count_if(~truth).alias("n"), F.count_if(wrong).alias("w"))
+    said = F.col("last") >= F.col("step")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    sums = grid.join(F.broadcast(counted)).groupBy("step", "threshold")  # STEPS + 1 rows each
+    return _ratios(sums.agg(total("d", said).alias("tp"), total("n", said).alias("fp"), total("n", ~said).alias("tn"), total("d", ~said).alias("fn"), total("w", said).alias("wrong_candidate")))
 
 
 def choose(rows: DataFrame, strict: bool = True) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.errors import EncodingError
+from spindrel.functions import scalars as S
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
@@ -24,21 +26,32 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Token counts by hash bucket, L2-normalised; a deterministic stand-in for a model. Runs in the JVM."""
+    """Token counts by hash bucket, L2-normalised; a deterministic stand-in for a model. A row never leaves its task."""
 
     def __init__(self, dimension: int = 64) -> None:
+        if dimension < 1:
+            raise EncodingError("an encoder has one dimension at least")
         self.dimension = dimension
 
-    def bucket(self, token: Column) -> Column:
-        return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % self.dimension).cast("int")
-
     def encode(self, rows: DataFrame, key: str, text: str) -> DataFrame:
-        """key, vector. A text without tokens has a zero vector. Rows must be unique by key."""
-        tokens = rows.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(1))).alias("token"))
-        counts = tokens.groupBy(key, self.bucket(F.col("token")).alias("bucket")).count()
-        maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("count").cast("double")))).alias("counts"), F.sqrt(F.sum(F.col("count").cast("double") * F.col("count"))).alias("norm"))
-        vector = F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda b: F.coalesce(F.try_element_at(F.col("counts"), b) / F.col("norm"), F.lit(0.0)))
-        return rows.select(key).join(maps, key, "left").select(key, F.coalesce(vector, F.array_repeat(F.lit(0.0), self.dimension)).alias("vector"))
+        """key, vector. A text without tokens, or null, has a zero vector."""
+        dimension = self.dimension
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens = batch.column(1)
+                coded = tokens.flatten().dictionary_encode()
+                bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dimension for t in coded.dictionary.to_pylist()], np.int64)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
+                place = row * dimension + (bucket[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else row)
+                counts = np.bincount(place, minlength=batch.num_rows * dimension).reshape(batch.num_rows, dimension).astype(float)
+                counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, dimension, dtype=np.int32)), pa.array(counts.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "vector"])
+
+        kind = rows.schema[key].dataType.simpleString()
+        words = F.coalesce(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(1)), F.array().cast("array<string>"))
+        return rows.select(key, words.alias("_words")).mapInArrow(run, f"{key} {kind}, vector array<double>")
 
 
 class ModelEncoder:
@@ -81,3 +94,17 @@ def cached_encode(encoder: Encoder, rows: DataFrame, key: str, text: str, cache:
     fresh = encoder.encode(texts, "digest", "_text").select(F.lit(model).alias("model"), F.lit(role).alias("role"), "digest", F.col("vector").cast("array<float>").alias("vector"))
     every = fresh if cache is None else cache.select(*fresh.columns).unionByName(fresh)
     return wanted.join(every.select("digest", "vector"), "digest").select(key, "vector"), fresh
+
+
+def encode_role(encoder: Encoder, rows: DataFrame, key: str, text: str, role: str, model: str) -> DataFrame:
+    """key, vector of texts with the prefix of their role ("query" or "passage"); blank texts are an error."""
+    texts = rows.select(key, S.strip(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    if not texts.where(F.col("_text") == "").isEmpty():
+        raise EncodingError(f"a {role} has no text")
+    return encoder.encode(texts.select(key, S.apply_prefix(F.col("_text"), role, F.lit(model)).alias("_text")), key, "_text")
+
+
+def provenance(vectors: DataFrame, model: str, role: str, dimension: int) -> DataFrame:
+    """The vectors with where they come from: model, role, dimension, and the prefix that the model's texts get."""
+    e5 = S.is_e5(F.lit(model))
+    return vectors.withColumns({"model": F.lit(model), "role": F.lit(role), "dimension": F.lit(dimension), "prefix": F.when(e5, S.PREFIXES[role]).otherwise("")})

@@ -38,20 +38,38 @@ def _gain(grade: str):
     return (F.pow(F.lit(2.0), F.col(grade)) - 1.0) / F.log2(F.col("rank") + 1.0)
 
 
+def graded(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
+    """The rankings with the grade of each product, 0 for unjudged ones."""
+    return rankings.join(judgments, ["query_id", "product_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)).cast("double"))
+
+
+def grade_counts(judgments: DataFrame) -> DataFrame:
+    """query_id, grade, n: how many products each query has with each grade."""
+    return judgments.groupBy("query_id", F.col("grade").cast("double").alias("grade")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def per_query(rankings: DataFrame, judgments: DataFrame, k: int = 10, threshold: float = RELEVANT) -> DataFrame:
     """query_id, ndcg, recall, mrr, ceiling, n_relevant, n_found, n_retrieved of each judged query.
 
     Unjudged products have grade 0. The ideal ranking takes the k best of all the query's judgments. A judged query
     without a ranking scores 0; without relevant judgments recall and ceiling are 0.
     """
+    return per_query_of(graded(rankings.where(F.col("rank") <= k), judgments), grade_counts(judgments), k, threshold)
+
+
+def per_query_of(rankings: DataFrame, counts: DataFrame, k: int = 10, threshold: float = RELEVANT) -> DataFrame:
+    """As per_query, from rankings with grades and the number of judgments of each grade (query_id, grade, n): no list
+    of judgments is needed where grades follow from properties of query and product."""
     check_arguments(k, threshold)
-    top = rankings.where(F.col("rank") <= k).join(judgments, ["query_id", "product_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0.0)).cast("double"))
     good = F.col("grade") >= threshold
-    got = top.groupBy("query_id").agg(F.sum(_gain("grade")).alias("dcg"), F.count_if(good).alias("n_found"), F.count(F.lit(1)).alias("n_retrieved"), F.min(F.when(good, F.col("rank"))).alias("first"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("grade"))
-    ideal = judgments.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(_gain("grade")).alias("idcg"))
-    relevant = judgments.groupBy("query_id").agg(F.count_if(F.col("grade") >= threshold).alias("n_relevant"))
-    rows = relevant.join(ideal, "query_id").join(got, "query_id", "left")
+    got = rankings.where(F.col("rank") <= k).groupBy("query_id").agg(F.sum(_gain("grade")).alias("dcg"), F.count_if(good).alias("n_found"), F.count(F.lit(1)).alias("n_retrieved"), F.min(F.when(good, F.col("rank"))).alias("first"))
+    # The ideal ranking has all products of the best grade, then all of the next, up to k: sums of discounts by place.
+    discounts = F.array(*[F.lit(sum(1 / math.log2(r + 1) for r in range(1, n + 1))) for n in range(k + 1)])
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("grade")))
+    share = F.element_at(discounts, (F.least(F.lit(k), "upto") + 1).cast("int")) - F.element_at(discounts, (F.least(F.lit(k), F.col("upto") - F.col("n")) + 1).cast("int"))
+    gain = (F.pow(F.lit(2.0), F.col("grade")) - 1.0) * share
+    relevant = counts.where("n > 0").withColumn("upto", upto).groupBy("query_id").agg(F.sum(gain).alias("idcg"), F.sum(F.when(good, F.col("n")).otherwise(0)).alias("n_relevant"))
+    rows = relevant.join(got, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
         "query_id",
@@ -67,9 +85,18 @@ def per_query(rankings: DataFrame, judgments: DataFrame, k: int = 10, threshold:
 
 def macro(rankings: DataFrame, judgments: DataFrame, k: int = 10, threshold: float = RELEVANT) -> DataFrame:
     """Means over all judged queries; a ranking of an unjudged query is an error."""
-    if not unknown(rankings, judgments).isEmpty():
+    return macro_of(graded(rankings.where(F.col("rank") <= k), judgments), grade_counts(judgments), k, threshold)
+
+
+def macro_of(rankings: DataFrame, counts: DataFrame, k: int = 10, threshold: float = RELEVANT) -> DataFrame:
+    if not unknown(rankings, counts).isEmpty():
         raise MetricError("a ranking belongs to no judged query")
-    return per_query(rankings, judgments, k, threshold).agg(F.count(F.lit(1)).alias("n_queries"), *[F.avg(c).alias(f"mean_{c}") for c in ("ndcg", "recall", "mrr", "ceiling")])
+    return per_query_of(rankings, counts, k, threshold).agg(F.count(F.lit(1)).alias("n_queries"), *[F.avg(c).alias(f"mean_{c}") for c in ("ndcg", "recall", "mrr", "ceiling")])
+
+
+def summary(metrics: DataFrame) -> DataFrame:
+    """query_id and its metrics as one JSON object, to 4 decimals."""
+    return metrics.select("query_id", F.to_json(F.struct(*[F.round(c, 4).alias(c) for c in ("ndcg", "recall", "mrr", "ceiling")], "n_relevant")).alias("summary"))
 
 
 def fidelity(engine: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
@@ -91,8 +118,8 @@ def missed(engine: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
     return exact.where(F.col("rank") <= k).join(engine.where(F.col("rank") <= k), ["query_id", "product_id"], "left_anti").select("query_id", "rank", "product_id")
 
 
-def fidelity_report(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("fidelity").alias("mean_fidelity"), F.avg("rank_agreement").alias("mean_rank_agreement"), F.count_if(F.col("fidelity") >= 1).alias("n_perfect"))
+def fidelity_report(rows: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    return rows.groupBy(*(groups or [])).agg(F.count(F.lit(1)).alias("n_queries"), F.avg("fidelity").alias("mean_fidelity"), F.avg("rank_agreement").alias("mean_rank_agreement"), F.count_if(F.col("fidelity") >= 1).alias("n_perfect"))
 
 
 def compliance(rankings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -105,6 +132,11 @@ def compliance(rankings: DataFrame, queries: DataFrame) -> DataFrame:
     return out.withColumn("compliant", F.col("n_returned") == F.col("n_matching"))
 
 
+def compliance_summary(rows: DataFrame) -> DataFrame:
+    """n_queries, n_compliant, all_compliant of the rows of compliance."""
+    return rows.agg(F.count(F.lit(1)).alias("n_queries"), F.count_if("compliant").alias("n_compliant"), F.coalesce(F.bool_and("compliant"), F.lit(True)).alias("all_compliant"))
+
+
 def latency(rows: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
     """n, mean, least, greatest, p50 and p95 (linear interpolation)."""
     x = F.col(value).cast("double")

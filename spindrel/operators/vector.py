@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrel.config import IndexSettings
 from spindrel.errors import EmptyCollectionError, StoreError
 
-#: Query vectors that one pass over the collection takes along; more are taken in several passes.
+#: Query vectors that one pass over the collection takes along; each further block is another pass.
 QUERY_BLOCK = 4096
 #: Decimals by which scores rank: equal to this many, they tie and the lesser id comes first.
 DECIMALS = 9
@@ -41,64 +43,127 @@ def violations(collection: DataFrame, dimension: int, vector: str = "vector", to
     )
 
 
-def _local_top(ids: np.ndarray, brands: list | None, matrix: np.ndarray, k: int, skip_self: bool):
-    """Each batch's best k for each query; brands: those of the queries, None to search all."""
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one dimension as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if column.null_count or len(flat) % max(1, len(column)) or len(set(np.diff(column.offsets.to_numpy()).tolist())) > 1:
+        raise StoreError("vectors are missing or differ in dimension")
+    return flat.reshape(len(column), -1)
+
+
+class _Best:
+    """The k best (score, then least id) of each query so far."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.bar = k, np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: queries x rows, -inf where a row doesn't count."""
+        bar = self.bar
+        if scores.shape[1] > self.k:  # rows that tie with the k-th stay: ids decide
+            bar = np.maximum(bar, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        q, c = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+        self.parts.append((q, scores[q, c], ids[c]))
+        self.held += len(q)
+        if self.held > 4 * self.k * len(bar) + 4096:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, score, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.bar[q[last]] = score[last]
+        keep = place < self.k
+        self.parts, self.held = [(q[keep], score[keep], ids[keep])], int(keep.sum())
+        return self.parts[0]
+
+
+def _local_top(shared, k: int, skip_self: bool):
+    """The best k of each query among the task's rows. shared: (ids, brands or None, matrix, cells or None) of the
+    queries; brands restrict the rows of a query to those with its brand, cells to the cells that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, brands, matrix, cells = shared.value
+        best = _Best(len(ids), k)
+        asked = None if brands is None else np.array(brands, object)
         for batch in batches:
             if not batch.num_rows:
                 continue
             mine = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.stack([np.asarray(x, float) for x in batch.column(2).to_numpy(zero_copy_only=False)])
-            scores = np.round(matrix @ rows.T, DECIMALS) + 0.0
-            allowed = np.ones_like(scores, bool)
-            if brands is not None:
-                have = np.array(batch.column(1).to_pylist(), object)
-                for b in set(brands):
-                    allowed[np.ix_([q for q, x in enumerate(brands) if x == b], np.flatnonzero(have != b))] = False
+            scores = np.round(matrix @ matrix_of(batch.column(2)).T, DECIMALS) + 0.0
+            have = batch.column(1).to_pylist()
+            if asked is not None:
+                scores[asked[:, None] != np.array(have, object)[None, :]] = -np.inf
+            if cells is not None:
+                scores[~cells[:, np.array(have)]] = -np.inf
             if skip_self:
-                allowed &= ids[:, None] != mine[None, :]
-            scores[~allowed] = -np.inf
-            if scores.shape[1] > k:  # all rows that tie with the k-th stay: ids decide later
-                bar = np.partition(scores, -k, axis=1)[:, -k][:, None]
-                allowed &= scores >= bar
-            q, c = np.nonzero(allowed)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(mine[c]), pa.array(scores[q, c])], names=["query_id", "product_id", "score"])
+                scores[ids[:, None] == mine[None, :]] = -np.inf
+            best.add(scores, mine)
+        if best.parts:
+            q, score, found = best.shrink()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q), pa.array(found), pa.array(score)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
+FOUND = "query_id long, place long, product_id long, score double"
+
+
+def _ranked(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "product_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def query_blocks(queries: DataFrame, names: list[str], dimension: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(rows, matrix) of QUERY_BLOCK queries at a time; one block is on the driver at a time."""
+    held: list = []
+
+    def block() -> tuple[list, np.ndarray]:
+        if any(r["vector"] is None or len(r["vector"]) != dimension for r in held):
+            raise StoreError(f"a query vector hasn't the collection's {dimension} dimensions")
+        return held, np.array([r["vector"] for r in held], float)
+
+    for row in queries.select(*names).toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            yield block()
+            held = []
+    if held:
+        yield block()
+
+
+def dimension_of(collection: DataFrame) -> int:
+    first = collection.select(F.size("vector").alias("n")).first()
+    if first is None:
+        raise EmptyCollectionError("the collection has no rows")
+    return first["n"]
+
+
 def exact_topk(queries: DataFrame, collection: DataFrame, k: int, brand: bool = False, skip_self: bool = False) -> DataFrame:
     """query_id, rank, product_id, score of the k best rows by dot product of unit vectors.
 
     queries: query_id, vector (and brand); collection: product_id, vector (and brand). The brand is part of the query:
-    only rows with it are ranked, and a brand without rows gives no rows. Ties rank by product_id. A pass over the
-    collection takes QUERY_BLOCK queries along as a matrix; a task returns k rows a query and batch at most (more
-    only for ties), so the collection is never shuffled.
+    only rows with it are ranked, and a brand without rows gives no rows. Ties rank by product_id. QUERY_BLOCK queries
+    at a time go along as a broadcast matrix; each block is a pass over the collection in which a task returns k rows a
+    query, so the collection is never shuffled.
     """
     check_k(k)
-    if collection.limit(1).isEmpty():
-        raise EmptyCollectionError("the collection has no rows")
-    names = ["query_id", *(["brand"] if brand else []), "vector"]
+    dimension = dimension_of(collection)
     rows = collection.select("product_id", F.col("brand") if brand else F.lit(None).cast("string").alias("brand"), F.col("vector").cast("array<double>").alias("vector"))
-    found, held = None, []
-
-    def search(block: list) -> DataFrame:
-        matrix = np.array([r["vector"] for r in block], float)
-        if matrix.ndim != 2:
-            raise StoreError("query vectors differ in dimension")
-        return rows.mapInArrow(_local_top(np.array([r["query_id"] for r in block]), [r["brand"] for r in block] if brand else None, matrix, k, skip_self), "query_id long, product_id long, score double")
-
-    for row in queries.select(*names).toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            part, held = search(held), []
-            found = part if found is None else found.unionByName(part)
-    if held or found is None:
-        part = search(held) if held else rows.sparkSession.createDataFrame([], "query_id long, product_id long, score double")
+    context, found = rows.sparkSession.sparkContext, None
+    for block, matrix in query_blocks(queries, ["query_id", *(["brand"] if brand else []), "vector"], dimension):
+        shared = context.broadcast((np.array([r["query_id"] for r in block]), [r["brand"] for r in block] if brand else None, matrix, None))
+        part = rows.mapInArrow(_local_top(shared, k, skip_self), FOUND)
         found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "product_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "product_id", "score")
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], FOUND)
+    return _ranked(found, k, ["query_id"]).select("query_id", "rank", "product_id", "score")
 
 
 def hits(ranked: DataFrame, payload: DataFrame) -> DataFrame:
@@ -106,28 +171,64 @@ def hits(ranked: DataFrame, payload: DataFrame) -> DataFrame:
     return ranked.join(payload, "product_id").withColumns({"score_kind": F.lit("similarity"), "higher_is_better": F.lit(True)})
 
 
-def nearest_cells(rows: DataFrame, pivots: DataFrame, key: str, n: int) -> DataFrame:
-    """key, cell, place of the n nearest pivots (cell, vector) of each row; pivots are a bounded table."""
-    scored = rows.select(key, F.col("vector").alias("_v")).join(F.broadcast(pivots.select("cell", F.col("vector").alias("_p"))), F.lit(True)).select(key, "cell", F.round(dot(F.col("_v"), F.col("_p")), DECIMALS).alias("_s"))
-    # The n best of the few pivots of a row, without a shuffle of the rows.
-    order = F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), "cell")))
-    return scored.groupBy(key).agg(F.slice(order, 1, n).alias("top")).select(key, F.posexplode("top").alias("place", "t")).select(key, F.col("t.cell").alias("cell"), "place")
+def _nearest(pivots: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest pivots of each vector, the first among equals."""
+    scores = np.round(vectors @ pivots.T, DECIMALS) + 0.0
+    return np.argsort(-scores, axis=1, kind="stable")[:, :n]
+
+
+def _assigned(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = _nearest(shared.value, matrix_of(batch.column("vector")), 1)[:, 0] if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+    return run
 
 
 class CellIndex:
-    """Rows dealt to the cell of their nearest pivot; every row is indexed, the pivots are a bounded sample."""
+    """Rows dealt to the cell of their nearest pivot, written once, a folder for each cell.
 
-    def __init__(self, collection: DataFrame, pivots: DataFrame) -> None:
-        self.pivots = pivots
-        self.cells = nearest_cells(collection.withColumnRenamed("product_id", "_id"), pivots, "_id", 1).select(F.col("_id").alias("product_id"), "cell").join(collection, "product_id")
+    Pivots are the vectors of a bounded sample: the rows with the least MD5 of their id, as many as the settings say, or
+    about the square root of the number of rows. Every row is indexed, in one pass and without a join. A search reads
+    the cells that its queries visit.
+    """
 
-    def search(self, queries: DataFrame, k: int, probes: int, skip_self: bool = False) -> DataFrame:
-        """The k best rows of the cells nearest to each query; all cells give the exact result."""
+    def __init__(self, collection: DataFrame, where: str, settings: IndexSettings | None = None) -> None:
+        settings = settings or IndexSettings()
+        spark = collection.sparkSession
+        self.settings, self.where, self.dimension = settings, where, dimension_of(collection)
+        rows = collection.select("product_id", F.col("vector").cast("array<double>").alias("vector"))
+        self.cells = min(settings.sample, settings.cells or math.ceil(math.sqrt(rows.count())))
+        sample = rows.withColumn("h", F.md5(F.col("product_id").cast("string"))).orderBy("h", "product_id").limit(self.cells).collect()
+        self.pivots = np.array([r["vector"] for r in sample], float)
+        self.cells = len(self.pivots)
+        kind = rows.schema["product_id"].dataType.simpleString()
+        dealt = rows.mapInArrow(_assigned(spark.sparkContext.broadcast(self.pivots)), f"product_id {kind}, vector array<double>, cell int")
+        dealt.hint("rebalance", "cell").write.partitionBy("cell").parquet(where)
+        self.rows = spark.read.schema(f"product_id {kind}, vector array<double>, cell int").parquet(where)
+
+    def search(self, queries: DataFrame, k: int, probes: int | list[int] | None = None, skip_self: bool = False) -> DataFrame:
+        """query_id, probes, rank, product_id, score: the k best rows of the cells nearest to each query; all cells give
+        the exact result. Several numbers of probes are searched in one pass."""
         check_k(k)
-        visits = nearest_cells(queries, self.pivots, "query_id", probes).join(queries, "query_id").select("query_id", "cell", F.col("vector").alias("_q"))
-        pairs = self.cells.join(F.broadcast(visits), "cell")
-        if skip_self:
-            pairs = pairs.where("query_id <> product_id")
-        scored = pairs.select("query_id", "product_id", (F.round(dot(F.col("_q"), F.col("vector")), DECIMALS) + 0.0).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "product_id"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "product_id", "score")
+        many = [probes or self.settings.probes] if not isinstance(probes, list) else probes
+        if any(n < 1 for n in many):
+            raise StoreError("a search visits one cell at least")
+        context, out = self.rows.sparkSession.sparkContext, None
+        for block, matrix in query_blocks(queries, ["query_id", "vector"], self.dimension):
+            near = _nearest(self.pivots, matrix, self.cells)
+            visits = np.zeros((len(many) * len(block), self.cells), bool)
+            for m, n in enumerate(many):
+                np.put_along_axis(visits[m * len(block) : (m + 1) * len(block)], near[:, :n], True, axis=1)
+            shared = context.broadcast((np.tile([r["query_id"] for r in block], len(many)), None, np.tile(matrix, (len(many), 1)), visits))
+            rows = self.rows
+            if not visits.any(0).all():
+                rows = rows.where(F.col("cell").isin(np.flatnonzero(visits.any(0)).tolist()))
+            part = rows.select("product_id", "cell", "vector").mapInArrow(_local_top(shared, k, skip_self), FOUND)
+            numbers = F.array(*[F.lit(n) for n in many])
+            part = part.withColumn("probes", F.element_at(numbers, (F.floor(F.col("place") / len(block)) + 1).cast("int")))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = self.rows.sparkSession.createDataFrame([], FOUND + ", probes int")
+        return _ranked(out, k, ["probes", "query_id"]).select("query_id", "probes", "rank", "product_id", "score")

@@ -1,6 +1,6 @@
 """Scalar functions over `part` and `supplier`; duplicate detection over `documents`.
 
-Listings are the documents whose id is divisible by 100, held against all others. A listing is a duplicate if another
+Listings are the documents whose id is divisible by 100, held against all documents but themselves. A listing is a duplicate if another
 document has the same text; the reference is the least id of those.
 """
 
@@ -13,6 +13,7 @@ from spindrel.functions import scalars as S
 from spindrel.operators import artifacts, duplicates, vector
 from spindrel.operators.encoding import HashingEncoder
 from spindrel.session import table
+from spindrel.workspace import small_or_shuffled, staged
 
 
 def _part(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,9 +45,10 @@ def uuid5_ids(spark, sf):
 
 
 def id_contract_violations(spark, sf):
-    """Ids made from the name instead of the key break the contract unless the two are the same."""
-    rows = uuid5_ids(spark, sf)
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~S.is_uuid5(F.col("record_id"))).alias("n_malformed"), F.count_if(F.col("record_id") != S.uuid5(F.col("p_partkey").cast("string"))).alias("n_foreign"), (F.count(F.lit(1)) - F.count_distinct("record_id")).alias("n_repeated"))
+    """Ids that were made from the name, for every seventh part, belong to another product."""
+    key = F.col("p_partkey").cast("string")
+    rows = _part(spark, sf).withColumn("record_id", S.uuid5(F.when(F.pmod("p_partkey", F.lit(7)) == 0, F.col("p_name")).otherwise(key)))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~S.is_uuid5(F.col("record_id"))).alias("n_malformed"), F.count_if(F.col("record_id") != S.uuid5(key)).alias("n_foreign"), (F.count(F.lit(1)) - F.count_distinct("record_id")).alias("n_repeated"))
 
 
 def _composed(strategy):
@@ -73,7 +75,7 @@ def split_list(spark, sf):
 
 
 def _vectors(spark, sf) -> DataFrame:
-    return HashingEncoder().encode(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return staged(HashingEncoder().encode(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "document-vectors")
 
 
 def hashing_encoder(spark, sf):
@@ -85,13 +87,17 @@ def hashing_encoder(spark, sf):
 
 def _evidence(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
-    listing = F.col("doc_id") % 100 == 0
-    twins = docs.where(~listing).groupBy("digest").agg(F.min("doc_id").alias("reference_id"))
-    listings = docs.where(listing).join(twins, "digest", "left").select(F.col("doc_id").alias("listing_id"), F.col("reference_id").isNotNull().alias("is_duplicate"), "reference_id")
+    # The reference is the least other id with the same text: the least of all, or for that one the second.
+    firsts = staged(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-texts")
+    twins = small_or_shuffled(firsts)
+    seconds = docs.join(twins, "digest").where("doc_id <> first").groupBy("digest").agg(F.min("first").alias("first"), F.min("doc_id").alias("second"))
+    listings = docs.where("doc_id % 100 = 0").join(small_or_shuffled(staged(seconds, "second-texts")), "digest", "left")
+    reference = F.when(F.col("doc_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    listings = listings.select(F.col("doc_id").alias("listing_id"), F.col("first").isNotNull().alias("is_duplicate"), reference.alias("reference_id"))
     vectors = _vectors(spark, sf)
-    queries = vectors.where(listing).withColumnRenamed("doc_id", "query_id")
-    others = vectors.where(~listing).withColumnRenamed("doc_id", "product_id")
-    return duplicates.evidence(listings, vector.exact_topk(queries, others, 2).withColumnRenamed("query_id", "listing_id"))
+    queries = vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    ranked = vector.exact_topk(queries, vectors.withColumnRenamed("doc_id", "product_id"), 2, skip_self=True)
+    return staged(duplicates.evidence(listings, ranked.withColumnRenamed("query_id", "listing_id")), "evidence")
 
 
 def _decided(spark, sf) -> DataFrame:
@@ -139,22 +145,23 @@ def duplicate_artifact_rows(spark, sf):
 _NAMES = "clean_scalar clean_flag clean_version default_locale uuid5_ids id_contract_violations apply_prefix texts_digest split_list hashing_encoder dup_evidence dup_decisions dup_confusion dup_class_stats dup_sweep dup_threshold dup_error_analysis duplicate_artifact_rows".split()
 QUERIES = {name: globals()[name] for name in _NAMES} | {f"compose_{s}": _composed(s) for s in S.STRATEGIES}
 
-_UUID = """
-    hashed AS (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_partkey::VARCHAR)) AS h FROM part),
-    ids AS (
-        SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17:17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS record_id FROM hashed)"""
+_UUID_OF = """
+    SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17:17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS record_id
+    FROM (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}::VARCHAR)) AS h FROM part)"""
+_UUID = f"ids AS ({_UUID_OF.format(name='p_partkey')})"
 _ENCODED = r"""
     tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token FROM documents),
     buckets AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM tokens GROUP BY ALL),
     weights AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS w FROM buckets)"""
 _EVIDENCE = f"""WITH {_ENCODED},
     texts AS (SELECT doc_id, md5(text) AS digest FROM documents),
-    twins AS (SELECT digest, min(doc_id) AS reference_id FROM texts WHERE doc_id % 100 <> 0 GROUP BY digest),
-    listings AS (SELECT doc_id AS listing_id, reference_id IS NOT NULL AS is_duplicate, reference_id FROM texts LEFT JOIN twins USING (digest) WHERE doc_id % 100 = 0),
-    dots AS (SELECT q.doc_id AS listing_id, d.doc_id AS product_id, sum(q.w * d.w) AS s FROM weights q JOIN weights d USING (bucket) WHERE q.doc_id % 100 = 0 AND d.doc_id % 100 <> 0 GROUP BY ALL),
+    listings AS (
+        SELECT l.doc_id AS listing_id, count(o.doc_id) > 0 AS is_duplicate, min(o.doc_id) AS reference_id
+        FROM texts l LEFT JOIN texts o ON o.digest = l.digest AND o.doc_id <> l.doc_id WHERE l.doc_id % 100 = 0 GROUP BY l.doc_id),
+    dots AS (SELECT q.doc_id AS listing_id, d.doc_id AS product_id, sum(q.w * d.w) AS s FROM weights q JOIN weights d USING (bucket) WHERE q.doc_id % 100 = 0 AND d.doc_id <> q.doc_id GROUP BY ALL),
     ranked AS (
         SELECT l.listing_id, t.doc_id AS product_id, round(coalesce(s, 0), 9) + 0.0 AS score, row_number() OVER (PARTITION BY l.listing_id ORDER BY round(coalesce(s, 0), 9) DESC, t.doc_id) AS rank
-        FROM listings l JOIN texts t ON t.doc_id % 100 <> 0 LEFT JOIN dots ON dots.listing_id = l.listing_id AND dots.product_id = t.doc_id),
+        FROM listings l JOIN texts t ON t.doc_id <> l.listing_id LEFT JOIN dots ON dots.listing_id = l.listing_id AND dots.product_id = t.doc_id),
     evidence AS (
         SELECT l.listing_id, l.is_duplicate, l.reference_id, max(product_id) FILTER (rank = 1) AS best_id, coalesce(max(score) FILTER (rank = 1), 0) AS score,
                max(score) FILTER (rank = 2) AS runner_up, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS margin
@@ -191,12 +198,13 @@ SQL = {
     "clean_version": _case("p_size::BIGINT AS version"),
     "default_locale": "SELECT doc_id, CASE lang WHEN 'en' THEN 'es' ELSE lang END AS locale FROM documents",
     "uuid5_ids": f"WITH {_UUID} SELECT p_partkey, record_id FROM ids",
-    "id_contract_violations": f"WITH {_UUID} SELECT count(*) AS n_rows, count(*) FILTER (NOT regexp_full_match(record_id, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-5[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}')) AS n_malformed, 0::BIGINT AS n_foreign, count(*) - count(DISTINCT record_id) AS n_repeated FROM ids",
+    "id_contract_violations": f"""WITH {_UUID}, other AS ({_UUID_OF.format(name='p_name')}), found AS (SELECT p_partkey, ids.record_id AS own, CASE WHEN p_partkey % 7 = 0 THEN other.record_id ELSE ids.record_id END AS record_id FROM ids JOIN other USING (p_partkey))
+        SELECT count(*) AS n_rows, count(*) FILTER (NOT regexp_full_match(record_id, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-5[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}')) AS n_malformed, count(*) FILTER (record_id <> own) AS n_foreign, count(*) - count(DISTINCT record_id) AS n_repeated FROM found""",
     "compose_raw_text": _case("CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS composed"),
     "compose_title_only": _case("trim(p_name) AS composed"),
     "compose_title_brand_color": _case(f"concat_ws('. ', p_name, 'Marca: ' || p_brand, {_COLOR}) AS composed"),
     "apply_prefix": _case("CASE WHEN p_partkey % 3 = 0 THEN 'Query: ' || p_name WHEN p_partkey % 2 = 0 THEN 'query: ' || p_name ELSE p_name END AS prefixed"),
-    "texts_digest": "SELECT p_brand, sha256(string_agg(sha256(p_name || chr(0)), '' ORDER BY p_partkey)) AS digest, count(*) AS n_texts FROM part GROUP BY p_brand",
+    "texts_digest": "SELECT p_brand, sha256(string_agg(p_name || chr(0), '' ORDER BY p_partkey)) AS digest, count(*) AS n_texts FROM part GROUP BY p_brand",
     "split_list": _case("CASE WHEN upper(p_name) = upper(p_brand) THEN upper(p_name) ELSE upper(p_name) || '|' || upper(p_brand) END AS entries"),
     "hashing_encoder": f"WITH {_ENCODED} SELECT doc_id, round(coalesce(sum(w), 0), 6) AS total, round(coalesce(sum(w * w), 0), 6) AS squares FROM documents LEFT JOIN weights USING (doc_id) GROUP BY doc_id",
     "dup_evidence": f"{_EVIDENCE} SELECT listing_id, is_duplicate, reference_id, best_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, round(margin, 6) AS margin FROM evidence",

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from spindrel.operators import artifacts, attribution, collection, evaluation, vector
 from spindrel.operators.lexical import TfidfIndex
 from spindrel.session import table
+from spindrel.workspace import scratch, small_or_shuffled
 
-K, CELLS, PROBES, LOW_PROBES = 10, 16, 14, 2
+#: PROBES cells give a fidelity of 0.95 or more on the test data; LOW_PROBES are few on purpose, so that there are losses.
+K, PROBES, LOW_PROBES, SWEEP = 10, 40, 2, [1, 2, 4, 8, 16, 32]
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,18 +31,45 @@ def _exact(spark: SparkSession, sf: str, k: int = K, brand: bool = False) -> Dat
     return vector.exact_topk(_queries(rows), rows, k, brand, skip_self=True)
 
 
+_indexes: dict[tuple[str, str], vector.CellIndex] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> vector.CellIndex:
+    """The index of a folder's collection, written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = vector.CellIndex(_rows(spark, sf), scratch(spark, "cells"))
+    return _indexes[key]
+
+
 def _cells(spark: SparkSession, sf: str, probes: int = PROBES, k: int = K) -> DataFrame:
-    rows = _rows(spark, sf)
-    pivots = rows.where(F.col("product_id") < CELLS).select(F.col("product_id").alias("cell"), "vector")
-    return vector.CellIndex(rows, pivots).search(_queries(rows).drop("brand"), k, probes, skip_self=True)
+    return _index(spark, sf).search(_queries(_rows(spark, sf)), k, probes, skip_self=True).drop("probes")
+
 
+def _grade(spark: SparkSession, sf: str):
+    """Puts grades to rankings: they follow from the labels of query and product."""
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
 
-def _judgments(spark: SparkSession, sf: str) -> DataFrame:
+    def graded(ranked: DataFrame) -> DataFrame:
+        rows = ranked.join(labels.select(F.col("vec_id").alias("product_id"), F.col("label").alias("_label")), "product_id")
+        rows = rows.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_asked")), "query_id")
+        return rows.withColumn("grade", _of(F.abs(F.col("_label") - F.col("_asked")))).drop("_label", "_asked")
+
+    return graded
+
+
+def _of(far):
+    return F.when(far == 0, 3.0).when(far == 1, 2.0).when(far == 2, 1.0).otherwise(0.0)
+
+
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, grade, n: products of each grade, from the number of products of each label."""
     rows = table(spark, sf, "embeddings").select("vec_id", "label")
-    queries = F.broadcast(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked")))
-    far = F.abs(F.col("label") - F.col("asked"))
-    grade = F.when(far == 0, 3.0).when(far == 1, 2.0).when(far == 2, 1.0).otherwise(0.0)
-    return rows.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("product_id"), grade.alias("grade"))
+    labels = small_or_shuffled(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("asked"))
+    grade = _of(F.abs(F.col("label") - F.col("asked")))
+    others = F.col("n") - F.when(F.col("label") == F.col("asked"), 1).otherwise(0)
+    return queries.join(labels).groupBy("query_id", grade.alias("grade")).agg(F.sum(others).alias("n"))
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
@@ -60,8 +89,10 @@ def exact_topk_brand(spark, sf):
 
 
 def exact_topk_brand_absent(spark, sf):
+    """Every other query asks for a brand that no row has: these get no hits, the others theirs."""
     rows = _rows(spark, sf)
-    return _shown(vector.exact_topk(_queries(rows).withColumn("brand", F.lit(-1).cast(rows.schema["brand"].dataType)), rows, K, brand=True))
+    asked = F.when(F.col("query_id") % 200 == 0, F.lit(-1)).otherwise(F.col("brand")).cast(rows.schema["brand"].dataType)
+    return _shown(vector.exact_topk(_queries(rows).withColumn("brand", asked), rows, K, brand=True, skip_self=True))
 
 
 def topk_cap(spark, sf):
@@ -83,7 +114,7 @@ def collection_status(spark, sf):
 
 
 def _metrics(spark, sf):
-    return _rounded(evaluation.per_query(_exact(spark, sf), _judgments(spark, sf), K), "ndcg", "recall", "mrr", "ceiling")
+    return _rounded(evaluation.per_query_of(_grade(spark, sf)(_exact(spark, sf)), _counts(spark, sf), K), "ndcg", "recall", "mrr", "ceiling")
 
 
 def per_query_metrics(spark, sf):
@@ -108,11 +139,12 @@ def recall_ceiling(spark, sf):
 
 def macro_metrics(spark, sf):
     """Over all judged queries, with rankings for a brand filter: queries of a brand without other rows score 0."""
-    return _rounded(evaluation.macro(_exact(spark, sf, brand=True), _judgments(spark, sf), K), "mean_ndcg", "mean_recall", "mean_mrr", "mean_ceiling")
+    return _rounded(evaluation.macro_of(_grade(spark, sf)(_exact(spark, sf, brand=True)), _counts(spark, sf), K), "mean_ndcg", "mean_recall", "mean_mrr", "mean_ceiling")
 
 
 def unknown_rankings(spark, sf):
-    return evaluation.unknown(_exact(spark, sf), _judgments(spark, sf).where("grade > 3"))
+    """Rankings of all queries against the judgments of every other one."""
+    return evaluation.unknown(_exact(spark, sf), _counts(spark, sf).where("query_id % 200 = 0"))
 
 
 def duplicate_in_ranking(spark, sf):
@@ -125,7 +157,7 @@ def ivf_topk(spark, sf):
 
 
 def ivf_all_cells(spark, sf):
-    return _shown(_cells(spark, sf, CELLS))
+    return _shown(_cells(spark, sf, _index(spark, sf).cells))
 
 
 def ann_fidelity(spark, sf):
@@ -141,12 +173,13 @@ def ann_missed(spark, sf):
 
 
 def nprobe_sweep(spark, sf):
-    """One search of all cells, ranked with the cells that each number of probes reaches."""
-    exact, out = _exact(spark, sf), None
-    for probes in (1, 2, 4, 8, 16):
-        row = evaluation.fidelity_report(evaluation.fidelity(_cells(spark, sf, probes), exact, K)).withColumn("probes", F.lit(probes).cast("long"))
-        out = row if out is None else out.unionByName(row)
-    return _rounded(out, "mean_fidelity", "mean_rank_agreement")
+    """One pass over the cells for all numbers of probes, each against the same exact ranking."""
+    asked = lambda rows, probes: rows.withColumn("query_id", F.col("query_id") * len(SWEEP) + probes)
+    place = F.array_position(F.array(*[F.lit(n) for n in SWEEP]), F.col("probes")) - 1
+    engine = asked(_index(spark, sf).search(_queries(_rows(spark, sf)), K, SWEEP, skip_self=True), place).drop("probes")
+    exact = asked(_exact(spark, sf).withColumn("n", F.explode(F.array(*[F.lit(n) for n in range(len(SWEEP))]))), F.col("n")).drop("n")
+    rows = evaluation.fidelity(engine, exact, K).withColumn("probes", F.element_at(F.array(*[F.lit(n).cast("long") for n in SWEEP]), (F.pmod("query_id", F.lit(len(SWEEP))) + 1).cast("int")))
+    return _rounded(evaluation.fidelity_report(rows, ["probes"]), "mean_fidelity", "mean_rank_agreement")
 
 
 def brand_compliance(spark, sf):
@@ -162,26 +195,33 @@ def latency_percentiles(spark, sf):
     return _rounded(out, "mean", "least", "greatest", "p50", "p95")
 
 
-def attribution_layers(spark, sf):
-    out = attribution.attribute(_cells(spark, sf, LOW_PROBES), _exact(spark, sf), _judgments(spark, sf), K)
-    return _rounded(out, "ndcg", "recall", "ceiling")
+def compliance_summary(spark, sf):
+    return evaluation.compliance_summary(brand_compliance(spark, sf))
 
 
-def attribution_summary(spark, sf):
-    return attribution.by_layer(attribution.attribute(_cells(spark, sf, LOW_PROBES), _exact(spark, sf), _judgments(spark, sf), K))
+def metric_summaries(spark, sf):
+    return evaluation.summary(_metrics(spark, sf))
 
 
-def weakest_queries(spark, sf):
-    return attribution.weakest(_metrics(spark, sf)).select("query_id", "ndcg")
+def _attributed(spark, sf) -> DataFrame:
+    grade = _grade(spark, sf)
+    return attribution.attribute_of(grade(_cells(spark, sf, LOW_PROBES)), grade(_exact(spark, sf)), _counts(spark, sf), K)
 
 
-def experiment_comparison(spark, sf):
-    runs = [attribution.Experiment("E0", lambda: _cells(spark, sf, 1)), attribution.Experiment("E1", lambda: _cells(spark, sf, 4)), attribution.Experiment("E2", lambda: _exact(spark, sf))]
-    return _rounded(attribution.compare(runs, _judgments(spark, sf), K), "mean_ndcg", "mean_recall", "mean_mrr", "mean_ceiling")
+def attribution_layers(spark, sf):
+    return _rounded(_attributed(spark, sf), "ndcg", "recall", "ceiling")
+
 
+def attribution_summary(spark, sf):
+    return attribution.by_layer(_attributed(spark, sf))
 
-def experiment_winner(spark, sf):
-    return attribution.winner(experiment_comparison(spark, sf), ["E1", "E2"]).select("experiment", "mean_ndcg")
+
+def index_failure(spark, sf):
+    return attribution.index_failure(_attributed(spark, sf))
+
+
+def weakest_queries(spark, sf):
+    return attribution.weakest(_metrics(spark, sf)).select("query_id", "ndcg")
 
 
 def search_artifact_rows(spark, sf):
@@ -189,7 +229,10 @@ def search_artifact_rows(spark, sf):
 
 
 def contract_violations(spark, sf):
-    return artifacts.violations(artifacts.search_rows(_exact(spark, sf)).withColumn("score", F.when(F.col("rank") % 2 == 0, F.col("score"))), artifacts.SEARCH_CONTRACT)
+    """Rows that break each of the rules, some of them several."""
+    rank = F.col("rank")
+    spoilt = {"evaluation_id": F.when(rank % 5 == 0, "").otherwise(F.col("evaluation_id")), "product_id": F.when(rank % 3 != 0, F.col("product_id")), "score": F.when(rank % 2 == 0, F.col("score")), "rank": rank + 2}
+    return artifacts.violations(artifacts.search_rows(_exact(spark, sf)).withColumns(spoilt), artifacts.SEARCH_CONTRACT)
 
 
 def _part(spark, sf) -> DataFrame:
@@ -216,8 +259,8 @@ def tfidf_topk_brand(spark, sf):
 
 _NAMES = (
     "exact_topk exact_topk_brand exact_topk_brand_absent topk_cap search_hits vector_norm_check collection_status per_query_metrics ndcg_at_10 recall_at_10 mrr_at_10 recall_ceiling macro_metrics unknown_rankings "
-    "duplicate_in_ranking ivf_topk ivf_all_cells ann_fidelity rank_agreement ann_missed nprobe_sweep brand_compliance latency_percentiles attribution_layers attribution_summary weakest_queries experiment_comparison "
-    "experiment_winner search_artifact_rows contract_violations tfidf_vocab tfidf_topk tfidf_topk_brand"
+    "duplicate_in_ranking ivf_topk ivf_all_cells ann_fidelity rank_agreement ann_missed nprobe_sweep brand_compliance compliance_summary metric_summaries latency_percentiles attribution_layers attribution_summary index_failure weakest_queries "
+    "search_artifact_rows contract_violations tfidf_vocab tfidf_topk tfidf_topk_brand"
 ).split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
@@ -240,9 +283,9 @@ def _cell_sql(name: str, probes: int) -> str:
 
 
 _CELLS = """
+    pivots AS (SELECT v, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) AS cell FROM e QUALIFY cell <= ceil(sqrt((SELECT count(*) FROM e)::DOUBLE))),
     homes AS (
-        SELECT e.vec_id AS id, p.vec_id AS cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.v, p.v), 9) DESC, p.vec_id) AS place
-        FROM e, e p WHERE p.vec_id < 16)"""
+        SELECT e.vec_id AS id, cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_dot_product(e.v, p.v), 9) DESC, cell) AS place FROM e, pivots p)"""
 _JUDGED = """
     judgments AS (
         SELECT query_id, product_id, CASE abs(brand - asked) WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grade FROM pairs)"""
@@ -282,13 +325,11 @@ _METRICS = "round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS
 _MEANS = "count(*) AS n_queries, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(ceiling), 6) AS mean_ceiling"
 _LAYERS = f"""{_LOW}, {_JUDGED}, {_metric_sql('m', 'cells')},
     good AS (SELECT x.*, c.rank AS engine_rank FROM exact x JOIN judgments j USING (query_id, product_id) LEFT JOIN cells c USING (query_id, product_id) WHERE grade >= 2),
-    counts AS (SELECT query_id, count(*) AS n_exact, count(*) FILTER (engine_rank IS NULL) AS n_lost FROM good GROUP BY query_id),
+    counts AS (SELECT query_id, count(*) AS n_exact, count(*) FILTER (engine_rank IS NULL) AS n_lost, string_agg(product_id::VARCHAR, ',' ORDER BY rank) FILTER (engine_rank IS NULL) AS lost FROM good GROUP BY query_id),
     layers AS (
-        SELECT m.query_id, CASE WHEN coalesce(n_lost, 0) > 0 THEN 'indice' WHEN coalesce(n_exact, 0) = 0 THEN 'representacion' WHEN ceiling < 1 AND recall >= 0.9 * ceiling THEN 'datos_o_filtros' ELSE 'representacion' END AS layer,
+        SELECT m.query_id, coalesce(lost, '') AS lost, CASE WHEN coalesce(n_lost, 0) > 0 THEN 'indice' WHEN coalesce(n_exact, 0) = 0 THEN 'representacion' WHEN ceiling < 1 AND recall >= 0.9 * ceiling THEN 'datos_o_filtros' ELSE 'representacion' END AS layer,
                coalesce(n_lost, 0) AS n_lost, {_METRICS}
         FROM m LEFT JOIN counts USING (query_id))"""
-_EXPERIMENTS = f"""{_EXACT}, {_CELLS}, {_cell_sql('one', 1)}, {_cell_sql('four', 4)}, {_JUDGED}, {_metric_sql('m0', 'one')}, {_metric_sql('m1', 'four')}, {_metric_sql('m2', 'exact')},
-    compared AS (SELECT 'E0' AS experiment, {_MEANS} FROM m0 UNION ALL SELECT 'E1', {_MEANS} FROM m1 UNION ALL SELECT 'E2', {_MEANS} FROM m2)"""
 _TERMS = r"""
     words AS (SELECT p_partkey AS id, p_brand AS brand, regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]{2,}') AS w FROM part),
     terms AS (
@@ -305,7 +346,7 @@ _TFIDF = f"""WITH {_TERMS},
 SQL = {
     "exact_topk": f"{_EXACT} {_SHOW} exact",
     "exact_topk_brand": f"{_BRAND} {_SHOW} exact",
-    "exact_topk_brand_absent": f"{_EXACT} {_SHOW} exact WHERE rank < 0",
+    "exact_topk_brand_absent": f"{_BRAND} {_SHOW} exact WHERE query_id % 200 <> 0",
     "topk_cap": f"WITH {_BASE} SELECT query_id, count(*) AS n, count(*) AS last_rank FROM pairs WHERE brand = asked GROUP BY query_id",
     "search_hits": f"{_EXACT} SELECT query_id, rank, product_id, round(score, 6) AS score, label::BIGINT AS brand, 'similarity' AS score_kind, true AS higher_is_better FROM exact JOIN e ON vec_id = product_id",
     "vector_norm_check": """
@@ -320,7 +361,7 @@ SQL = {
     "mrr_at_10": f"{_MEASURED} SELECT query_id, round(mrr, 6) AS mrr FROM m",
     "recall_ceiling": f"{_MEASURED} SELECT query_id, round(ceiling, 6) AS ceiling, n_relevant FROM m",
     "macro_metrics": f"{_BRAND}, {_JUDGED}, {_metric_sql('m', 'exact')} SELECT {_MEANS} FROM m",
-    "unknown_rankings": f"{_EXACT} SELECT DISTINCT query_id FROM exact",
+    "unknown_rankings": f"{_EXACT} SELECT DISTINCT query_id FROM exact WHERE query_id % 200 <> 0",
     "duplicate_in_ranking": f"WITH {_BASE}, {_ranked('exact')}, {_ranked('same', '(SELECT * FROM pairs WHERE brand = asked)')} SELECT query_id, product_id, count(*) AS n FROM (SELECT * FROM exact UNION ALL SELECT * FROM same) GROUP BY ALL HAVING count(*) > 1",
     "ivf_topk": f"WITH {_BASE}, {_CELLS}, {_cell_sql('cells', PROBES)} {_SHOW} cells",
     "ivf_all_cells": f"{_EXACT} {_SHOW} exact",
@@ -328,9 +369,9 @@ SQL = {
     "rank_agreement": f"{_LOW}, {_fidelity_sql('f', 'cells')} SELECT query_id, round(fidelity, 6) AS fidelity, round(rank_agreement, 6) AS rank_agreement, n_missed FROM f",
     "ann_missed": f"{_LOW} SELECT query_id, exact.rank, product_id FROM exact ANTI JOIN cells USING (query_id, product_id)",
     "nprobe_sweep": f"{_EXACT}, {_CELLS}, "
-    + ", ".join(f"{_cell_sql(f'c{n}', n)}, {_fidelity_sql(f'f{n}', f'c{n}')}" for n in (1, 2, 4, 8, 16))
+    + ", ".join(f"{_cell_sql(f'c{n}', n)}, {_fidelity_sql(f'f{n}', f'c{n}')}" for n in SWEEP)
     + " "
-    + " UNION ALL ".join(f"SELECT count(*) AS n_queries, round(avg(fidelity), 6) AS mean_fidelity, round(avg(rank_agreement), 6) AS mean_rank_agreement, count(*) FILTER (fidelity >= 1) AS n_perfect, {n}::BIGINT AS probes FROM f{n}" for n in (1, 2, 4, 8, 16)),
+    + " UNION ALL ".join(f"SELECT count(*) AS n_queries, round(avg(fidelity), 6) AS mean_fidelity, round(avg(rank_agreement), 6) AS mean_rank_agreement, count(*) FILTER (fidelity >= 1) AS n_perfect, {n}::BIGINT AS probes FROM f{n}" for n in SWEEP),
     "brand_compliance": f"""{_EXACT}
         SELECT r.query_id, count(*) AS n_returned, count(*) FILTER (p.brand = p.asked) AS n_matching,
                coalesce(array_to_string(list_sort(list_distinct(list(p.brand) FILTER (p.brand <> p.asked))), ','), '') AS offending, count(*) = count(*) FILTER (p.brand = p.asked) AS compliant
@@ -339,14 +380,16 @@ SQL = {
         SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest,
                round(quantile_cont(value::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(value::DOUBLE, 0.95), 6) AS p95
         FROM events GROUP BY event_type""",
-    "attribution_layers": f"{_LAYERS} SELECT query_id, layer, n_lost, ndcg, recall, ceiling FROM layers",
+    "compliance_summary": f"{_EXACT}, rows AS (SELECT r.query_id, bool_and(p.brand = p.asked) AS ok FROM exact r JOIN pairs p USING (query_id, product_id) GROUP BY r.query_id) SELECT count(*) AS n_queries, count(*) FILTER (ok) AS n_compliant, bool_and(ok) AS all_compliant FROM rows",
+    "metric_summaries": f"""{_MEASURED} SELECT query_id, '{{"ndcg":' || round(round(ndcg, 6), 4) || ',"recall":' || round(round(recall, 6), 4) || ',"mrr":' || round(round(mrr, 6), 4) || ',"ceiling":' || round(round(ceiling, 6), 4) || ',"n_relevant":' || n_relevant || '}}' AS summary FROM m""",
+    "attribution_layers": f"""{_LAYERS} SELECT query_id, layer, n_lost, ndcg, recall, ceiling, lost,
+        CASE layer WHEN 'indice' THEN 'relevant products of the exact ranking are missing from the index''s' WHEN 'representacion' THEN 'the exact ranking finds too few of the relevant products' ELSE 'the ranking is about as good as the number of relevant products allows' END AS explanation FROM layers""",
+    "index_failure": f"{_LAYERS} SELECT query_id, n_lost, lost FROM layers WHERE n_lost > 0 ORDER BY query_id LIMIT 1",
     "attribution_summary": f"{_LAYERS} SELECT layer, count(*) AS n FROM layers GROUP BY layer",
     "weakest_queries": f"{_MEASURED} SELECT query_id, round(ndcg, 6) AS ndcg FROM m ORDER BY round(ndcg, 6), query_id LIMIT 3",
-    "experiment_comparison": f"{_EXPERIMENTS} SELECT * FROM compared",
-    "experiment_winner": f"{_EXPERIMENTS} SELECT experiment, mean_ndcg FROM compared WHERE experiment <> 'E0' ORDER BY mean_ndcg DESC, experiment LIMIT 1",
     "search_artifact_rows": f"{_EXACT} SELECT query_id::VARCHAR AS evaluation_id, rank, product_id::VARCHAR AS product_id, round(score, 6) AS score FROM exact",
     "contract_violations": f"""{_EXACT} SELECT unnest(['evaluation_id missing', 'rank outside 1 to 10', 'product_id missing', 'score missing']) AS rule,
-        unnest([0, 0, 0, (SELECT count(*) FROM exact WHERE rank % 2 = 1)])::BIGINT AS n""",
+        unnest([(SELECT count(*) FROM exact WHERE rank % 5 = 0), (SELECT count(*) FROM exact WHERE rank + 2 > 10), (SELECT count(*) FROM exact WHERE rank % 3 = 0), (SELECT count(*) FROM exact WHERE rank % 2 = 1)])::BIGINT AS n""",
     "tfidf_vocab": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM vocab",
     "tfidf_topk": f"{_TFIDF}, {_ranked('r')} {_SHOW} r",
     "tfidf_topk_brand": f"{_TFIDF}, {_ranked('r', '(SELECT * FROM pairs WHERE brand = asked)')} {_SHOW} r",

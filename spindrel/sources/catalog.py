@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.errors import ArtifactError, DataIntegrityError
+from spindrel.errors import ArtifactError, ContractError, DataIntegrityError
 from spindrel.functions import scalars as S
 from spindrel.operators import artifacts
 
@@ -41,6 +39,14 @@ def coerce_catalog(rows: DataFrame) -> DataFrame:
     return rows.select(*text, S.default_locale(F.col("locale")).alias("locale"), S.clean_scalar(F.col("text")).alias("text"), S.clean_version(F.col("catalog_version")).alias("catalog_version"), S.clean_flag(F.col("active")).alias("active"))
 
 
+def require_records(catalog: DataFrame) -> DataFrame:
+    """catalog, if every row has what a record needs."""
+    broken = catalog_violations(catalog, verify_ids=False).where("n > 0 and rule not like '%repeated'").collect()
+    if broken:
+        raise ContractError("; ".join(f"{r['rule']}: {r['n']}" for r in broken))
+    return catalog
+
+
 def catalog_violations(catalog: DataFrame, verify_ids: bool = True) -> DataFrame:
     """rule, n in one pass: repeated ids, missing values, ids that aren't the UUIDv5 of the product id."""
     rules = {
@@ -122,6 +128,15 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(F.from_json(F.get_json_object("value", "$.files"), "map<string,string>")).alias("file", "sha256"))
 
 
+def manifest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """snapshot_id, source (as JSON or text), name, n: the counts that the manifest gives, and where the data come from."""
+    if not exists(spark, path):
+        raise DataIntegrityError(f"{path} is missing")
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    rows = spark.read.option("wholetext", True).text(path)
+    return rows.select(field("snapshot_id").alias("snapshot_id"), field("source").alias("source"), F.explode_outer(F.from_json(field("counts"), "map<string,string>")).alias("name", "n")).withColumn("n", F.col("n").try_cast("long"))
+
+
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """file, sha256 of each file of a folder."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -155,13 +170,22 @@ def _typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_metrics(rows: DataFrame, path: str) -> None:
-    """Rows as JSON objects, one a line."""
+def write_metrics(rows: DataFrame, path: str, contract: dict[str, str] | None = None) -> None:
+    """Rows as JSON objects, one a line, if all keep the contract."""
+    artifacts.require(rows, contract or {})
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_experiments(rows: DataFrame, path: str) -> None:
+    """Experiment rows as JSON objects, if all keep the contract: configuration, metrics and retrieved ids."""
+    from spindrel.operators.attribution import EXPERIMENT_CONTRACT
+
+    write_metrics(rows, path, EXPERIMENT_CONTRACT)
+
+
 def write_all(outputs: list[tuple[DataFrame, str, dict[str, str]]]) -> None:
     """Checks all artifacts before it writes the first."""
-    reduce(lambda _, x: artifacts.require(x[0], x[2]), outputs, None)
+    for rows, _, contract in outputs:
+        artifacts.require(rows, contract)
     for rows, path, contract in outputs:
         write_csv(rows, path, contract)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spindrel.operators.changes import final_state
@@ -30,6 +29,6 @@ def merge_stream(events: DataFrame, base: DataFrame, root: str, checkpoint: str)
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(state_path(root, number - 1)) if number else base
-        final_state(batch, before).withColumn("batch", F.lit(number)).drop("batch").write.mode("overwrite").parquet(state_path(root, number))
+        final_state(batch, before).write.mode("overwrite").parquet(state_path(root, number))
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 """Operators on small cases with results worked out by hand."""
 
+import hashlib
 import math
+import os
 import uuid
 
 import numpy as np
@@ -8,12 +10,13 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from spindrel.config import IndexSettings, Settings, check_name
-from spindrel.errors import ConfigurationError, DataIntegrityError, DuplicateError, EmptyCollectionError, EventError, MetricError, StoreError
+from spindrel.config import IndexSettings, Settings, check_name, frozen
+from spindrel.errors import CompositionError, ConfigurationError, ContractError, DataIntegrityError, DuplicateError, EmptyCollectionError, EncodingError, EventError, MetricError, StoreError
 from spindrel.functions import scalars as S
-from spindrel.operators import artifacts, attribution, changes, collection, duplicates, evaluation, vector
-from spindrel.operators.encoding import HashingEncoder, ModelEncoder, cached_encode
+from spindrel.operators import artifacts, attribution, changes, collection, duplicates, evaluation, retrieval, vector
+from spindrel.operators.encoding import HashingEncoder, ModelEncoder, cached_encode, encode_role, provenance
 from spindrel.operators.lexical import TfidfIndex
+from spindrel.plans import retrieval as plan
 from spindrel.sources import catalog
 from spindrel.streaming.changes import latest, merge_stream
 
@@ -72,7 +75,7 @@ def test_topk_ties_filter_and_cap(spark):
         vector.exact_topk(q, rows, True)
 
 
-def test_topk_in_blocks_and_cells_equal_brute_force(spark, monkeypatch):
+def test_topk_in_blocks_and_cells_equal_brute_force(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
     x = np.random.default_rng(0).normal(size=(60, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -80,9 +83,26 @@ def test_topk_in_blocks_and_cells_equal_brute_force(spark, monkeypatch):
     q = asked(spark, [(i, "a", x[i].tolist()) for i in range(7)])
     want = {(i, r + 1): int(p) for i in range(7) for r, p in enumerate(np.lexsort((np.arange(60), -np.round(x @ x[i], 9)))[:5])}
     assert {(r["query_id"], r["rank"]): r["product_id"] for r in vector.exact_topk(q, rows, 5).collect()} == want
-    pivots = rows.where("product_id < 4").select(F.col("product_id").alias("cell"), "vector")
-    index = vector.CellIndex(rows, pivots)
+    index = vector.CellIndex(rows, f"{tmp_path}/cells", IndexSettings(cells=4, probes=2))
     assert {(r["query_id"], r["rank"]): r["product_id"] for r in index.search(q.drop("brand"), 5, 4).collect()} == want
+    both = index.search(q, 5, [1, 4])
+    assert {(r["query_id"], r["rank"]): r["product_id"] for r in both.where("probes = 4").collect()} == want
+    homes = {r["product_id"]: r["cell"] for r in index.rows.collect()}
+    near = {i: int(np.argmax(np.round(index.pivots @ x[i], 9))) for i in range(60)}
+    assert homes == near and all(homes[r["product_id"]] == near[r["query_id"]] for r in both.where("probes = 1").collect())
+    assert vector.CellIndex(rows, f"{tmp_path}/more").cells == 8 and index.search(q, 5).first()["probes"] == 2
+    with pytest.raises(StoreError):
+        vector.exact_topk(q.withColumn("vector", F.array(F.lit(1.0))), rows, 5)
+
+
+def test_running_best_keeps_the_best_of_all_batches():
+    rng = np.random.default_rng(3)
+    best, scores = vector._Best(4, 3), np.round(rng.random((4, 500)), 2)
+    for at in range(0, 500, 7):
+        best.add(scores[:, at : at + 7].copy(), np.arange(at, min(500, at + 7)))
+    q, _, ids = best.shrink()
+    for i in range(4):
+        assert ids[q == i].tolist() == np.lexsort((np.arange(500), -scores[i]))[:3].tolist()
 
 
 def test_vector_violations(spark):
@@ -182,6 +202,69 @@ def test_collections(spark, tmp_path):
         store.reset()
     store.reset(confirmed=True)
     assert not store.exists()
+    with pytest.raises(StoreError):
+        store.ingest(rows, HashingEncoder(32))
+    with pytest.raises(EncodingError):
+        store.ingest(rows.withColumn("text", F.lit(" ")), HashingEncoder())
+
+
+def test_search_by_text(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x", "red shoe"), (2, "y", "blue hat"), (3, "x", "blue shoe")], "product_id long, brand string, text string")
+    store = collection.Collections(spark, str(tmp_path), Settings())
+    report = store.ingest(rows, HashingEncoder()).first()
+    assert (report["model"], report["batches"]) == ("hashing-64", 1)
+    found = retrieval.live_retriever(store, HashingEncoder(), "hashing-64", 3)
+    assert [r["product_id"] for r in found.search("blue hat").collect()][0] == 2
+    assert [r["product_id"] for r in found.search("blue hat", brand="x").collect()] == [3, 1] and found.search("hat", brand="z").count() == 0
+    assert found.search("red", 1).first().asDict().keys() >= {"rank", "product_id", "score", "brand", "score_kind", "higher_is_better"}
+    for bad in (lambda: found.search("  "), lambda: found.search("x", 0)):
+        with pytest.raises((EncodingError, StoreError)):
+            bad()
+    for encoder, model in ((HashingEncoder(32), "hashing-64"), (HashingEncoder(), "another")):
+        with pytest.raises(StoreError):
+            retrieval.Retriever(store.read(), encoder, model)
+    with pytest.raises(StoreError):
+        retrieval.live_retriever(store, HashingEncoder(), "hashing-64", 4)
+
+
+def test_roles_and_provenance(spark):
+    rows = spark.createDataFrame([(1, " red shoe ")], "id long, text string")
+    plain, e5 = (encode_role(HashingEncoder(), rows, "id", "text", "query", m).first()["vector"] for m in ("other", "my/e5-small"))
+    prefixed = HashingEncoder().encode(rows.withColumn("text", F.lit("query: red shoe")), "id", "text").first()["vector"]
+    assert e5 == prefixed != plain
+    row = provenance(rows, "my/e5-small", "passage", 64).first()
+    assert (row["role"], row["prefix"], row["dimension"]) == ("passage", "passage: ", 64)
+
+
+def test_event_report_and_search_probes(spark):
+    base = spark.createDataFrame([(1, "old one"), (2, "old two")], "key long, title string")
+    events = spark.createDataFrame([(1, 1, "UPSERT", "new one"), (2, 9, "UPSERT", "nine"), (3, 2, "DELETE", None), (4, 2, "DELETE", None)], "sequence long, key long, op string, title string")
+    state, row = changes.apply_events(events, base, twice=True)
+    assert state.count() == 2 and row.first().asDict()["n_visible"] == 3 and row.first()["idempotent"]
+    seen = {r["kind"]: (r["sequence"], r["found"], r["visible"]) for r in changes.search_probes(events, base, HashingEncoder(), 1).collect()}
+    assert seen == {"actualizacion": (1, True, True), "alta": (2, True, True), "baja": (3, False, True)}
+    with pytest.raises(EventError):
+        changes.apply_events(events.where("sequence > 1"), base)
+    assert changes.search_probes(events.limit(0), base, HashingEncoder()).count() == 0
+
+
+def test_sweep_equals_counting_at_every_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, bool(rng.integers(2)), int(rng.integers(3)), int(rng.integers(3)) if rng.random() < 0.9 else None, round(float(rng.random()), 2)) for i in range(80)]
+    frame = spark.createDataFrame(rows, "listing_id long, is_duplicate boolean, reference_id long, best_id long, score double")
+    low, high = min(r[4] for r in rows), max(r[4] for r in rows)
+    for r in duplicates.sweep(frame).collect():
+        t = round(low + (high - low) * r["step"] / 200, 9)
+        said = [x[3] is not None and x[4] >= t for x in rows]
+        assert (r["tp"], r["fp"]) == (sum(s and x[1] for s, x in zip(said, rows, strict=True)), sum(s and not x[1] for s, x in zip(said, rows, strict=True)))
+        assert (r["fn"], r["wrong_candidate"]) == (sum(x[1] and not s for s, x in zip(said, rows, strict=True)), sum(x[1] and s and x[3] != x[2] for s, x in zip(said, rows, strict=True)))
+
+
+def test_texts_digest(spark):
+    rows = spark.createDataFrame([(2, "a", "y"), (1, "a", "x"), (1, "b", None), (3, "a", "é")], "pos int, g string, t string")
+    one = lambda *texts: hashlib.sha256("".join(x + "\0" for x in texts).encode()).hexdigest()
+    assert {tuple(r) for r in S.texts_digest(rows, "pos", "t", ["g"]).collect()} == {("a", one("x", "y", "é"), 3), ("b", one(""), 1)}
+    assert S.texts_digest(rows.where("g = 'a'"), "pos", "t").first()["digest"] == one("x", "y", "é")
 
 
 def test_encoders(spark):
@@ -229,6 +312,73 @@ def test_sources(spark, tmp_path):
     assert {r["file"]: r["ok"] for r in catalog.integrity(expected, sums).collect()} == {"c.csv": True, "gone.csv": False}
 
 
+def test_query_judgment_listing_and_event_sources(spark, tmp_path):
+    write = lambda name, *lines: (tmp_path / name).write_text("\n".join(lines) + "\n") and f"{tmp_path}/{name}"
+    dev = catalog.load_development_queries(spark, write("d.csv", "workload_id,query_id,query_text,query_type", "W1,7, shoe ,direct"))
+    assert tuple(dev.first()) == ("W1", 7, "shoe", "direct")
+    assert tuple(catalog.load_blind_queries(spark, write("b.csv", "evaluation_id,query_text,query_type", "EVAL-1-direct,hat,direct")).first()) == ("EVAL-1-direct", "hat", "direct")
+    filtered = catalog.load_filtered_queries(spark, write("f.csv", "workload_id,query_text,filter_field,filter_operator,filter_value,expected_property", "W,q,brand,equals,NIKE,x"))
+    assert filtered.first()["brand"] == "NIKE"
+    head = "query_id,product_id,esci_label,relevance"
+    assert tuple(catalog.load_judgments(spark, write("j.csv", head, "7,P1,e,3.0"), dev).first()) == ("W1", "P1", 3.0)
+    for line in ("8,P1,E,3.0", "7,P1,E,2.0", "7,P1,Q,3.0"):  # no such query, a wrong grade, no such label
+        with pytest.raises(DataIntegrityError):
+            catalog.load_judgments(spark, write("k.csv", head, line), dev)
+    plain = catalog.load_listings(spark, write("l.csv", "incoming_id,title,brand,color,text", "I1,Shoe,nan,,"))
+    assert plain.columns == ["incoming_id", "title", "brand", "color", "text"] and plain.first()["brand"] == ""
+    labelled = catalog.load_listings(spark, write("m.csv", "incoming_id,title,brand,color,text,is_duplicate,reference_product_id", "I1,Shoe,,,,true,P1"))
+    assert tuple(labelled.first()[-2:]) == (True, "P1")
+    head = "sequence,event_id,operation," + ",".join(catalog.CATALOG)
+    events = catalog.load_events(spark, write("e.csv", head, "2,E2,delete,K1,,,,,,,,", "1,E1,upsert,K1,P1,Shoe,,,es,text,1,true"))
+    assert [(r["sequence"], r["op"], r["record"] is None) for r in events.collect()] == [(1, "UPSERT", False), (2, "DELETE", True)]
+    with pytest.raises(EventError):
+        catalog.load_events(spark, write("g.csv", head, "2,E2,delete,K1,,,,,,,,"))
+    with pytest.raises(DataIntegrityError):
+        catalog.load_events(spark, write("h.csv", head, "1,E2,move,K1,,,,,,,,"))
+    manifest = write("manifest.json", '{"snapshot_id": "s1", "source": {"name": "x"}, "counts": {"rows": 5, "queries": 2}, "files": {"c.csv": "ab"}}')
+    assert tuple(catalog.load_manifest(spark, manifest).first()) == ("c.csv", "ab")
+    assert {(r["name"], r["n"]) for r in catalog.manifest_counts(spark, manifest).collect()} == {("rows", 5), ("queries", 2)} and catalog.manifest_counts(spark, manifest).first()["snapshot_id"] == "s1"
+    with pytest.raises(ContractError):
+        catalog.require_records(catalog.coerce_catalog(catalog.read_text_csv(spark, write("r.csv", ",".join(catalog.CATALOG), "x,,,,,,,1,true"), catalog.CATALOG)))
+
+
+def test_missed_duplicates_and_frozen_settings(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, False, 0.9), (2, True, False, 0.5), (3, True, True, 0.95), (4, False, False, 0.9)], "listing_id int, is_duplicate boolean, predicted boolean, score double")
+    assert {(r["listing_id"], r["in_gap"]) for r in attribution.missed_duplicates(rows, 0.85, 0.94).collect()} == {(1, True), (2, False)}
+    (tmp_path / "c.json").write_text('{"threshold": 0.9}')
+    assert frozen(f"{tmp_path}/c.json") == {"threshold": 0.9}
+    (tmp_path / "d.json").write_text("[1]")
+    for bad in ("d.json", "none.json"):
+        with pytest.raises(ConfigurationError):
+            frozen(f"{tmp_path}/{bad}")
+    with pytest.raises(CompositionError):
+        S.require_composed(rows.withColumn("t", F.lit("")), "t")
+
+
+def test_experiments_are_written_if_they_keep_the_contract(spark, tmp_path):
+    ranked = spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "query_id long, rank int, product_id long")
+    counts = spark.createDataFrame([(1, 3.0, 1), (1, 0.0, 4)], "query_id long, grade double, n long")
+    grade = lambda rows: rows.withColumn("grade", F.when(F.col("product_id") == 5, 3.0).otherwise(0.0))
+    row = attribution.compare([attribution.Experiment("E1", {"retriever": "x"}, lambda: ranked)], grade, counts)
+    assert row.first()["retrieved"] == {"1": ["5", "6"]} and row.first()["mean_ndcg"] == pytest.approx(1.0)
+    catalog.write_experiments(row, f"{tmp_path}/e")
+    assert spark.read.json(f"{tmp_path}/e").first()["experiment"] == "E1"
+    with pytest.raises(artifacts.ArtifactError):
+        catalog.write_experiments(row.withColumn("configuration", F.lit("{}")), f"{tmp_path}/f")
+    with pytest.raises(ConfigurationError):
+        attribution.Experiment("run", {}, lambda: ranked)
+
+
+def test_delivery(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test data")
+    report = {r["artifact"]: r for r in plan.deliver(spark, folder, str(tmp_path)).collect()}
+    assert report["search"]["n_rows"] == 10 * report["search"]["n_groups"] and all(r["n_broken"] == 0 for r in report.values())
+    metrics = spark.read.json(f"{tmp_path}/metrics").first()
+    assert 0 < metrics["mean_ndcg"] <= 1 and metrics["p95"] >= metrics["p50"]
+
+
 def test_artifacts(spark, tmp_path):
     ranked = spark.createDataFrame([(1, 3, 7, 0.5), (1, 9, 8, 0.25)], "query_id int, rank int, product_id int, score double")
     rows = artifacts.search_rows(ranked)
@@ -245,7 +395,7 @@ def test_artifacts(spark, tmp_path):
 
 def test_settings(monkeypatch):
     with pytest.raises(ConfigurationError):
-        IndexSettings(probes=20)
+        IndexSettings(cells=16, probes=20)
     with pytest.raises(ConfigurationError):
         check_name("other", "spindrel")
     with pytest.raises(ConfigurationError):
