@@ -4,7 +4,8 @@
 2. In any common order of tokens, the first n - ceil(t n) + 1 tokens of two sets that link have at least
    ceil(t / (1 + t) (m + n)) - ceil(t max(m, n)) + 1 in common. A sketch of all tokens (of bounded size) puts frequent ones
    last. Tokens meet in buckets, where pairs of comparable size are counted; a token of more than DENSE sets
-   joins them as a star instead. Pairs with enough counts, and stars, make blocks (components of these edges):
+   joins them as a star instead; if one task has so many, it makes the star itself and hands on few of its sets. Pairs
+   with enough counts, and stars, make blocks (components of these edges):
    sets that link are in one block.
 3. Blocks are packed or cut into tiles of a bounded number of sets. In a tile, signature trees (nodes with OR-combined
    bitmaps and size ranges) are traversed in pairs; what the largest possible overlap leaves is verified exactly. A
@@ -70,7 +71,7 @@ def _scan(size: int):
                         if waiting >= SKETCHED:
                             yield from _sketched(held)
                             held, waiting = [], 0
-            yield _slim(batch.column(0), pa.array(n), pa.array(keys), None, None)
+            yield _slim(batch.column(0), batch.column(2), pa.array(n), pa.array(keys), None, None)
         if held:
             yield from _sketched(held)
         del held
@@ -88,12 +89,12 @@ def _sketched(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if b > a:
             at = place[a:b] & np.uint32((1 << inner) - 1)
             packed = zlib.compress(np.r_[np.diff(at, prepend=at[:1]), count[a:b], at[:1]].astype(np.uint32).tobytes(), 1)
-            yield _slim(pa.nulls(1, pa.int64()), pa.array([0]), pa.array([0]), block, packed)
+            yield _slim(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([0]), block, packed)
 
 
-def _slim(ids, n, keys, block, counts) -> pa.RecordBatch:
+def _slim(ids, nameless, n, keys, block, counts) -> pa.RecordBatch:
     m = len(n)
-    return pa.RecordBatch.from_arrays([ids, n, keys, pa.array([block] * m, pa.int32()), pa.array([counts] * m, pa.binary())], names=["doc_id", "n", "set_key", "block", "counts"])
+    return pa.RecordBatch.from_arrays([ids, nameless, n, keys, pa.array([block] * m, pa.int32()), pa.array([counts] * m, pa.binary())], names=["doc_id", "nameless", "n", "set_key", "block", "counts"])
 
 
 def _levels(mean: float, fold: int):
@@ -135,38 +136,71 @@ def _postings(size: int, percent: int, levels, bits: int, buckets: int):
                 held.append((order, key, len(tokens)))
                 waiting += p
                 if waiting >= FLUSH:
-                    yield from _dealt(held, buckets)
+                    yield from _dealt(held, buckets, percent)
                     held, waiting = [], 0
         if held:
-            yield from _dealt(held, buckets)
+            yield from _dealt(held, buckets, percent)
         del held
         release()
 
     return run
 
 
-def _dealt(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
+#: Marks the size of a set that stands for a star that its task made.
+STAR = 1 << 31
+
+
+def _stars(tokens: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, which of it go on, edges, which of it are of stars): a token that more than DENSE sets of the task have becomes stars of sets whose
+    sizes have no gap that a link can't bridge. Of such a star the least and largest set of each size band go on: no two
+    of them in a row are further apart than a link allows, so the buckets see the same gaps."""
+    order = np.lexsort((keys, sizes, tokens))
+    token, size, key = tokens[order], sizes[order].astype(np.int64), keys[order]
+    head = np.r_[True, token[1:] != token[:-1]]
+    dense = np.diff(np.r_[np.flatnonzero(head), len(token)])[np.cumsum(head) - 1] > DENSE
+    cut = head | np.r_[True, percent * size[1:] > 100 * size[:-1]]
+    first = np.flatnonzero(cut)[np.cumsum(cut) - 1]
+    rest = np.flatnonzero(dense & ~cut)
+    edges = np.unique(np.stack([key[first[rest]], key[rest]], 1), axis=0)
+    band = np.floor(np.log(np.maximum(size, 1)) / (0.99 * np.log(100 / percent))) if percent < 100 else size
+    begins = cut | np.r_[True, band[1:] != band[:-1]]
+    return order, ~dense | begins | np.r_[begins[1:], True], edges, dense
+
+
+def _dealt(held: list, buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Postings by bucket; the edges of the task's stars go along in buckets below 0."""
     lengths = np.fromiter((len(x[0]) for x in held), np.int64, len(held))
     tokens = np.concatenate([x[0] for x in held])
     keys = np.repeat(np.fromiter((x[1] for x in held), np.int64, len(held)), lengths)
     sizes = np.repeat(np.fromiter((x[2] for x in held), np.uint32, len(held)), lengths)
+    order, on, edges, dense = _stars(tokens, keys, sizes, percent)
+    tokens, keys, sizes = tokens[order][on], keys[order][on], (sizes[order] | (dense * np.uint32(STAR)).astype(np.uint32))[on]
     spot = (tokens & np.uint64(0xFFFFFFF)) % np.uint64(buckets)
     short = ((tokens >> np.uint64(28)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     order = np.argsort(spot, kind="stable")
     spot, short, keys, sizes = spot[order], short[order], keys[order], sizes[order]
+    names = ["bucket", "tokens", "set_keys", "sizes"]
     at = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1], True])
     for lo in range(0, len(at) - 1, 64):
         some = list(zip(at[lo : lo + 65][:-1].tolist(), at[lo : lo + 65][1:].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(spot[a]) for a, _ in some], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (short, keys, sizes))], names=["bucket", "tokens", "set_keys", "sizes"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([int(spot[a]) for a, _ in some], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (short, keys, sizes))], names=names)
+    for lo in range(0, len(edges), 65536):
+        some = np.ascontiguousarray(edges[lo : lo + 65536].T)
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - int(some[1, 0] % buckets)], pa.int64()), pa.array([some[1].tobytes()], pa.binary()), pa.array([some[0].tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=names)
 
 
 def _candidates(percent: int):
     """Pairs (a, b) of comparable size with the number of tokens seen in common and the number needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.full(len(k) // 8, bucket, np.uint64), np.frombuffer(t, np.uint32), np.frombuffer(k, np.int64), np.frombuffer(s, np.uint32)) for batch in batches for bucket, t, k, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        parts = []
+        for batch in batches:
+            for bucket, t, k, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket >= 0:
+                    parts.append((np.full(len(k) // 8, bucket, np.uint64), np.frombuffer(t, np.uint32), np.frombuffer(k, np.int64), np.frombuffer(s, np.uint32)))
+                else:  # edges that are certain to be needed
+                    a, b = np.frombuffer(k, np.int64), np.frombuffer(t, np.int64)
+                    yield _pairs(np.stack([a, b, np.zeros_like(a), np.ones_like(a)], 1))
         if not parts:
             return
         bucket, token, keys, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -177,16 +211,19 @@ def _candidates(percent: int):
         same = token[1:] == token[:-1]
         live = np.r_[same, False] | np.r_[False, same]
         token, keys, sizes = token[live], keys[live], sizes[live].astype(np.int64)
+        star, sizes = sizes >= STAR, sizes & (STAR - 1)
         order = np.lexsort((keys, sizes, token))
-        token, keys, sizes = token[order], keys[order], sizes[order]
-        fresh = np.ones(len(token), bool)  # copies from several tasks
-        fresh[1:] = (token[1:] != token[:-1]) | (keys[1:] != keys[:-1])
-        token, keys, sizes = token[fresh], keys[fresh], sizes[fresh]
+        token, keys, sizes, star = token[order], keys[order], sizes[order], star[order]
         if not len(token):
             return
         head = np.r_[True, token[1:] != token[:-1]]
+        star = np.logical_or.reduceat(star, np.flatnonzero(head))[np.cumsum(head) - 1]
+        fresh = np.ones(len(token), bool)  # copies from several tasks
+        fresh[1:] = (token[1:] != token[:-1]) | (keys[1:] != keys[:-1])
+        token, keys, sizes, star = token[fresh], keys[fresh], sizes[fresh], star[fresh]
+        head = np.r_[True, token[1:] != token[:-1]]
         members = np.diff(np.r_[np.flatnonzero(head), len(token)])[np.cumsum(head) - 1]
-        dense = members > DENSE
+        dense = star | (members > DENSE)
         # Stars: sizes in order, a new one wherever the next set is too large for all before it.
         head |= np.r_[True, percent * sizes[1:] > 100 * sizes[:-1]]
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
@@ -211,11 +248,15 @@ def _candidates(percent: int):
             cut = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(1)])
             pairs.append(np.column_stack([both[cut], needed[cut], np.diff(np.r_[cut, len(both)])]))
         for some in pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, c]).astype(np.int64)) for c in range(4)], names=["a", "b", "needed", "seen"])
+            yield _pairs(some)
 
     return run
 
 
+def _pairs(some: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, c]).astype(np.int64)) for c in range(4)], names=["a", "b", "needed", "seen"])
+
+
 def _full_sets(size: int):
     """The tokens of the texts that stand for their class; a row of another text with the same doc_id is left out."""
 
@@ -367,13 +408,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a set holds the distinct shingles of `size` words (at most 5),
     or the whole sequence if it is shorter. Sets link when 100 * intersection >= percent * union; component_id is the
     least doc_id that links reach, the row's own included. A null or blank text has an empty set and no link. Rows that
-    repeat a doc_id are compared like all others. A null doc_id counts only where a group has no other: then
-    component_id is null. Only doc_id and text are read; an empty table gives an empty result.
+    repeat a doc_id are compared like all others, and so are rows without one; component_id is null where a group has no
+    other. Texts are read whole. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = staged(docs.mapInArrow(_scan(size), "doc_id long, n long, set_key long, block int, counts binary"), "sets")
-    slim = scanned.where("block is null").select("doc_id", "n", "set_key")
+    docs = docs.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))  # how a row without an id is found again
+    scanned = staged(docs.mapInArrow(_scan(size), "doc_id long, nameless long, n long, set_key long, block int, counts binary"), "sets")
+    slim = scanned.where("block is null").select("doc_id", "nameless", "n", "set_key")
     rows, tokens = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     fold = max(0, FINEST - max(20, int(np.ceil(np.log2(max(1, tokens) / LOAD)))))
     bits = FINEST - fold
@@ -387,13 +429,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = postings.repartition(buckets, "bucket").mapInArrow(_candidates(percent), "a long, b long, needed long, seen long")
     edges = pairs.groupBy("a", "b").agg(F.min("needed").alias("needed"), F.sum("seen").alias("seen")).where("seen >= needed").select("a", "b")
     blocks = components(edges, "blocks")
-    classes = staged(slim.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
-    live = staged(classes.join(blocks.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "n", "root"), "live")
+    classes = staged(slim.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("nameless").alias("nameless"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
+    live = staged(classes.join(blocks.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "nameless", "n", "root"), "live")
 
     def sets(spots: DataFrame, rows: int) -> DataFrame:
-        return docs.join(small_or_shuffled(spots, rows), "doc_id").select("text", "set_key", "root", "chunk").mapInArrow(_full_sets(size), "set_key long, root long, chunk long, tokens binary")
-
-    links = block_links(live.withColumnRenamed("least", "doc_id"), ["doc_id"], sets, percent)
+        columns = ["text", "set_key", "root", "chunk"]
+        found = docs.join(small_or_shuffled(spots.drop("nameless"), rows), "doc_id").select(*columns)
+        unnamed = spots.where("doc_id is null").drop("doc_id")
+        if not unnamed.isEmpty():
+            found = found.unionByName(docs.where("doc_id is null").join(small_or_shuffled(unnamed, rows), "nameless").select(*columns))
+        return found.mapInArrow(_full_sets(size), "set_key long, root long, chunk long, tokens binary")
+
+    links = block_links(live.withColumnRenamed("least", "doc_id"), ["doc_id", "nameless"], sets, percent)
     grouped = staged(classes.join(components(links, "links").withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "root"), "grouped")
     heads = grouped.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("members"))
     total = grouped.count()
