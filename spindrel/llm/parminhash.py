@@ -30,6 +30,8 @@ LEAST_WORDS, RUN_WORDS = 8, 50
 #: Words of a passage's shingles: shorter ones occur again by chance too often.
 SHINGLE = 16
 FLUSH, BUCKET = 750_000, 500_000
+#: Least id of a further text of a doc_id; ids of documents must be below it.
+APART = 1 << 62
 _A = np.random.default_rng(77).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(78).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 PARAGRAPHS = "doc_id long, paragraph int, words int, shingles int, set_key long"
@@ -138,30 +140,39 @@ def _bands(least: int, buckets: int):
 
 
 def _dealt(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Band values by bucket. Classes of the task with one value are a star at once: its first class alone goes to the
+    bucket, so that a value that very many classes have is one posting a task there. Edges go along in buckets below 0."""
     key, at = np.unique(np.concatenate([k for k, _ in held]), return_index=True)
     bands = np.concatenate([b for _, b in held])[at]
     flat, key = bands.ravel(), np.repeat(key, BANDS)
-    spot = flat % np.uint64(buckets)
-    order = np.argsort(spot, kind="stable")
-    spot, key, short = spot[order], key[order], flat[order]
-    cut = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1], True])
-    for lo in range(0, len(cut) - 1, 64):
-        some = list(zip(cut[lo : lo + 65][:-1].tolist(), cut[lo : lo + 65][1:].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([int(spot[a]) for a, _ in some], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (short, key))], names=["bucket", "bands", "set_keys"])
+    order = np.lexsort((key, flat))
+    flat, key = flat[order], key[order]
+    head = np.r_[True, flat[1:] != flat[:-1]]
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    edges = np.unique(np.stack([key[first], key], 1)[~head], axis=0)
+    flat, key = flat[head], key[head]
+    spot = np.r_[(flat % np.uint64(buckets)).astype(np.int64), -1 - (edges[:, 1] % buckets)]
+    yield from _packed(spot, [np.r_[flat.view(np.int64), edges[:, 0]], np.r_[key, edges[:, 1]]])
 
 
 def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each band value as a star of the classes that have it."""
-    parts = [(np.frombuffer(b, np.uint64), np.frombuffer(k, np.int64)) for batch in batches for b, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-    if not parts:
-        return
-    band, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((key, band))
-    band, key = band[order], key[order]
-    first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-    least = np.repeat(key[first], np.diff(np.r_[first, len(band)]))
-    edges = np.unique(np.stack([least, key], 1)[least != key], axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], names=["a", "b"])
+    """Each band value as a star of the classes that have it, and the stars that tasks made."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    made: list[np.ndarray] = []
+    for batch in batches:
+        for bucket, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            (parts if bucket >= 0 else made).append((x, y) if bucket >= 0 else np.stack([x, y], 1))
+    if parts:
+        band, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        least = np.repeat(key[first], np.diff(np.r_[first, len(band)]))
+        made.append(np.stack([least, key], 1)[least != key])
+    if made:
+        edges = np.unique(np.concatenate(made), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +238,31 @@ def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray
     return [np.concatenate(h) if h else np.zeros(0, kind) for h, kind in zip(held, kinds, strict=True)]
 
 
-def _flushed(parts: Iterator[tuple[np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+def _flushed(parts: Iterator[tuple[np.ndarray, list[np.ndarray]]], combine=lambda spot, columns: (spot, columns)) -> Iterator[pa.RecordBatch]:
     held, waiting = [], 0
+
+    def pack() -> Iterator[pa.RecordBatch]:
+        return _packed(*combine(np.concatenate([s for s, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)]))
+
     for part in parts:
         held.append(part)
         waiting += len(part[0])
         if waiting >= FLUSH:
-            yield from _packed(np.concatenate([s for s, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)])
+            yield from pack()
             held, waiting = [], 0
     if held:
-        yield from _packed(np.concatenate([s for s, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)])
+        yield from pack()
+
+
+def _repeated_here(spot: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a shingle at several places of the task, the first place alone goes to the bucket, marked by a negative word;
+    the others are known to be repeated and go along in buckets below 0."""
+    shingle, doc, word = columns
+    order = np.lexsort((word, doc, shingle))
+    spot, shingle, doc, word = spot[order].astype(np.int64), shingle[order], doc[order], word[order].astype(np.int64)
+    same = shingle[1:] == shingle[:-1]
+    again, more = np.r_[False, same], np.r_[same, False]
+    return np.where(again, -1 - spot, spot), [shingle, doc, np.where(more & ~again, -1 - word, word)]
 
 
 def _anchors(size: int, buckets: int):
@@ -256,23 +282,30 @@ def _anchors(size: int, buckets: int):
                     yield shingle[at] % np.uint64(buckets), [shingle[at], ids[text + i], at - firsts[text]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _flushed(parts(batches))
+        yield from _flushed(parts(batches), _repeated_here)
 
     return run
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of least shingles that occur at two places or more: the words of each document, packed."""
-    shingle, doc, word = _unpacked(batches, [np.uint64, np.int64, np.int64])
-    order = np.lexsort((word, doc, shingle))
-    shingle, doc, word = shingle[order], doc[order], word[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
-    shingle, doc, word = shingle[fresh], doc[fresh], word[fresh]
+    known: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for bucket, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shingle, doc, word = (np.frombuffer(v, kind) for v, kind in zip(values, (np.uint64, np.int64, np.int64), strict=True))
+            known.append((doc, word)) if bucket < 0 else held.append((shingle, doc, word))
+    shingle, doc, word = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    marked, word = word < 0, np.where(word < 0, -1 - word, word)
+    order = np.argsort(shingle, kind="stable")
+    shingle, doc, word, use = shingle[order], doc[order], word[order], marked[order]
     same = shingle[1:] == shingle[:-1]
-    use = np.zeros(len(shingle), bool)
     use[1:] |= same
     use[:-1] |= same
+    doc, word = (np.concatenate(x) for x in zip((doc[use], word[use]), *known, strict=True))
+    order = np.lexsort((word, doc))
+    doc, word = doc[order], word[order]
+    use = np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])][: len(doc)]
     doc, word = doc[use], word[use]
     order = np.argsort(doc, kind="stable")
     doc, word = doc[order], word[order].astype(np.int32)
@@ -411,7 +444,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.struct("doc_id", "paragraph")
     classes = staged(rows.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max("shingles").alias("n")), "classes")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * BANDS // BUCKET + 1)
-    edges = docs.mapInArrow(freed(_bands(least_words, buckets)), "bucket long, bands binary, set_keys binary").repartition(buckets, "bucket").mapInArrow(freed(_colliding), "a long, b long")
+    edges = docs.mapInArrow(freed(_bands(least_words, buckets)), "bucket long, c0 binary, c1 binary").repartition(buckets, "bucket").mapInArrow(freed(_colliding), "a long, b long")
     blocks = components(edges, "paragraph-blocks").withColumnRenamed("node", "set_key")
     live = staged(classes.join(blocks, "set_key").select("set_key", F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), F.col("n").cast("long").alias("n"), "root"), "live")
 
@@ -434,19 +467,47 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return runs.select("doc_id", "paragraph", "words", F.col("head.doc_id").alias("keep_doc_id"), F.col("head.paragraph").alias("keep_paragraph"), F.col("all").cast("long").alias("copies")).distinct()
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text with an id of its own, from APART on, for each further text of a doc_id that has several; rows
+    with a null doc_id are left out. The text with the least hash keeps the id."""
+    docs = docs.where("doc_id is not null")
+    each = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.max(F.xxhash64("text")).alias("most"))
+    several = staged(each.where("least <> most").select("doc_id", "least"), "several-texts")
+    if several.isEmpty():
+        return docs
+    other = F.lit(APART) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    mine = F.col("least").isNull() | (F.col("least") == F.xxhash64("text"))
+    return docs.join(small_or_shuffled(several), "doc_id", "left").select(F.when(mine, F.col("doc_id")).otherwise(other).alias("doc_id"), "text")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The words to remove: doc_id, paragraph, first_word (from 0), words, keep_doc_id, keep_paragraph, copies.
 
     All of repeated_paragraphs, with first_word 0. Of the lines that stay, the words of every run of run_words words or
     more that occurs before, in an earlier document or earlier in this one and apart from it, go as well, a row for each
     line; keep_paragraph is then the line in which the copy that stays begins, copies the number of
-    places. The passage may begin and end within lines, and lines may be broken elsewhere in the other copy.
+    places. The passage may begin and end within lines, and lines may be broken elsewhere in the other copy. Several
+    texts of one doc_id are documents of their own, each but one behind all others in order; rows that repeat both are
+    one document. Null ids and texts have no rows; texts are read whole; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = _told_apart(docs)
+    found = _repeats(own, percent, least_words, run_words)
+    if own is docs or found.where(F.greatest("doc_id", "keep_doc_id") >= APART).isEmpty():
+        return found
+    apart = F.lit(APART) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    real = staged(docs.where("doc_id is not null").select(apart.alias("_apart"), F.col("doc_id").alias("_real")).distinct(), "real-ids")
+    for name in ("doc_id", "keep_doc_id"):
+        found = found.join(real.withColumnRenamed("_apart", "_key"), F.col("_key") == F.col(name), "left").withColumn(name, F.coalesce("_real", name)).drop("_key", "_real")
+    return found
+
+
+def _repeats(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """The rows of repeats, by the ids of _told_apart; a written table."""
     names = [c.split()[0] for c in REPEATS.split(", ")]
     whole = staged(repeated_paragraphs(docs, percent=percent, least_words=least_words, run_words=run_words).withColumn("first_word", F.lit(0)).select(*names), "whole-lines")
     parts = repeated_passages(docs, run_words).distinct()
-    return whole.unionByName(parts.join(whole.select("doc_id", "paragraph"), ["doc_id", "paragraph"], "left_anti"))
+    return staged(whole.unionByName(parts.join(whole.select("doc_id", "paragraph"), ["doc_id", "paragraph"], "left_anti")), "repeats")
 
 
 def _without(line: str, gone: list[tuple[int, int]]) -> str | None:
@@ -475,8 +536,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
-def drop_repeats(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and text without the repeated words."""
+def drop_repeats(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id and text without the repeated words; rows of one doc_id with several texts are each cut by their own."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = _told_apart(docs)
     gone = F.collect_list(F.struct("paragraph", "first_word", "words")).alias("gone")
-    gone = staged(repeats(docs, **options).groupBy("doc_id").agg(gone), "gone")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_shuffled(gone), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(freed(_cut), "doc_id long, text string")
+    found = _repeats(own, percent, least_words, run_words)
+    gone = staged(found.groupBy("doc_id").agg(gone), "gone")
+    cut = own.join(small_or_shuffled(gone, found.count()), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(freed(_cut), "doc_id long, text string")
+    if not cut.where(F.col("doc_id") >= APART).isEmpty():
+        apart = F.lit(APART) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+        real = staged(docs.where("doc_id is not null").select(apart.alias("_apart"), F.col("doc_id").alias("_real")).distinct(), "real-ids")
+        cut = cut.join(real, F.col("_apart") == F.col("doc_id"), "left").select(F.coalesce("_real", "doc_id").alias("doc_id"), "text")
+    return cut.unionByName(docs.where("doc_id is null"))
