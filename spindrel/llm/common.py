@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,45 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast may hold; beyond it, the same join is shuffled.
-BROADCAST_ROWS = 1_000_000
+from spindrel.workspace import BROADCAST_ROWS, remove, scratch, shared_dir, small_or_shuffled, staged
+
+__all__ = ["BROADCAST_ROWS", "remove", "scratch", "shared_dir", "small_or_shuffled", "staged"]
+
 #: A key with more than 1/HOT_SHARE of all rows is hot: there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: White space of every contract: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. A temporary folder only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spindrel-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        path = spark._jvm.org.apache.hadoop.fs.Path(named)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver's JVM ends."""
-    where = f"{shared_dir(spark)}/spindrel-{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
-
-
-def remove(spark: SparkSession, where: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, with no lineage to lose."""
-    where = scratch(df.sparkSession, name)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for the jobs that run inside: for long binary values."""
@@ -67,12 +36,6 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast if it has at most BROADCAST_ROWS rows; else as it is, for a shuffled join."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows left-joined with facts, which has one row per key; size names the column with the key's number of rows.
 

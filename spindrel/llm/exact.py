@@ -6,6 +6,7 @@ winners; the winners are broadcast and their rows are settled where they lie. Al
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,7 +93,8 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mixed = groups.where("some and not all").select(F.col("doc_id").alias(id_col))
     if mixed.isEmpty():
         return kept
-    stays = rows.where("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("_sha")).distinct()
-    row = Window.partitionBy(id_col, "_sha").orderBy(F.desc(F.length(text_col)))
-    some = docs.join(mixed, id_col, "left_semi").withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).join(stays, [id_col, "_sha"]).withColumn("_n", F.row_number().over(row)).where("_n = 1").drop("_sha", "_n")
+    sha, n = (f"_{x}_{uuid.uuid4().hex}" for x in ("sha", "n"))  # docs may have columns of any name
+    stays = rows.where("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias(sha)).distinct()
+    row = Window.partitionBy(id_col, sha).orderBy(F.desc(F.length(text_col)))
+    some = docs.join(mixed, id_col, "left_semi").withColumn(sha, F.sha2(normalised(F.col(text_col)), 256)).join(stays, [id_col, sha]).withColumn(n, F.row_number().over(row)).where(F.col(n) == 1).drop(sha, n)
     return without(kept, mixed, id_col).unionByName(some.select(kept.columns))
