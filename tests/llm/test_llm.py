@@ -428,6 +428,22 @@ def test_similar_groups_of_no_and_null_rows(spark):
     frame = spark.createDataFrame([(None, "a b"), (3, "a b"), (None, "c")], "doc_id long, text string")
     assert rows_of(sigtree.similar_groups(frame), "doc_id", "component_id") == [(3, 3), (None, 3), (None, None)]
     assert rows_of(sigtree.drop_similar(docs(spark, ["a b", "A  b", "c"])), "doc_id") == [(0,), (2,)]
+    # a near copy without an id links two groups that have one
+    words_ = [f"w{i}" for i in range(60)]
+    near = [" ".join(words_), " ".join([*words_, "x1", "x2", "x3", "x4"]), " ".join([*words_, *[f"x{i}" for i in range(1, 14)]])]
+    frame = spark.createDataFrame([(1, near[0]), (None, near[1]), (2, near[2]), (None, "other")], "doc_id long, text string")
+    assert near_groups(near)[2][2] == 0
+    assert rows_of(sigtree.similar_groups(frame), "doc_id", "component_id") == [(1, 1), (2, 1), (None, 1), (None, None)]
+
+
+def test_one_token_of_very_many_sets(spark, monkeypatch):
+    """Sets of one template: their common shingles are frequent, and their sizes have gaps."""
+    monkeypatch.setattr(sigtree, "DENSE", 3)
+    monkeypatch.setattr(sigtree, "FLUSH", 300)
+    rng = random.Random(19)
+    template = prose(rng, 60, 4000)
+    texts = [template + " " + prose(rng, rng.choice([2, 3, 6, 9, 14, 40, 90]), 4000) for _ in range(120)]
+    assert rows_of(sigtree.similar_groups(docs(spark, texts).repartition(3)), "doc_id", "n_shingles", "component_id") == near_groups(texts)
 
 
 # 5
@@ -450,6 +466,8 @@ def test_exact_groups_with_repeated_and_null_ids(spark):
     frame = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "a "), (2, "c")], "doc_id long, text string")
     assert sum(r["kept"] for r in exact.exact_groups(frame).collect()) == 3
     assert rows_of(exact.drop_exact(frame), "doc_id", "text") == [(1, "b"), (2, "c"), (None, "a ")]
+    clash = frame.withColumns({"_sha": F.lit(1), "_n": F.lit(2), "kept": F.lit(3)})
+    assert rows_of(exact.drop_exact(clash), "doc_id", "text", "_sha", "kept") == [(1, "b", 1, 3), (2, "c", 1, 3), (None, "a ", 1, 3)]
 
 
 def test_misra_gries_finds_heavy_values():
@@ -570,6 +588,31 @@ def test_verbatim_passages_inside_and_across_lines(spark):
     assert cut == {0: texts[0], 1: f"{head} {tail}", 2: f"{other}\n{other}", 3: texts[3], 4: " ".join(["again"] * 50)}
 
 
+def test_several_texts_of_one_id(spark):
+    rng = random.Random(20)
+    passage, a, b, c = prose(rng, 60, 4000), prose(rng, 20, 4000), prose(rng, 20, 4000), prose(rng, 20, 4000)
+    frame = spark.createDataFrame([(1, f"{passage}\n{a}"), (5, f"{b}\n{passage}"), (5, c), (5, c), (None, passage)], "doc_id long, text string")
+    cut = rows_of(parminhash.drop_repeats(frame), "doc_id", "text")
+    assert cut == sorted([(1, f"{passage}\n{a}"), (5, b), (5, c), (5, c), (None, passage)], key=repr)
+    assert {r["doc_id"] for r in parminhash.repeats(frame).collect()} == {5}
+
+
+def test_passages_and_bands_that_many_documents_share(spark, monkeypatch):
+    """Postings that tasks combine give the same rows as those that meet one by one."""
+    rng = random.Random(21)
+    passage, line = prose(rng, 55, 4000), prose(rng, 60, 4000).split()
+    texts = [f"{prose(rng, 12, 4000)} {passage} {prose(rng, 12, 4000)}" for _ in range(40)]
+    for k in range(40):
+        line[k] = f"changed{k}"
+        texts.append(" ".join(line))
+    names = ("doc_id", "paragraph", "first_word", "words", "keep_doc_id", "keep_paragraph")
+    want = rows_of(parminhash.repeats(docs(spark, texts).repartition(30)), *names)
+    got = rows_of(parminhash.repeats(docs(spark, texts).coalesce(1)), *names)
+    assert got == want and {r[0] for r in got} >= set(range(1, 40))
+    monkeypatch.setattr(parminhash, "FLUSH", 10)
+    assert rows_of(parminhash.repeats(docs(spark, texts).repartition(2)), *names) == want
+
+
 def test_no_repeated_window_stays(spark):
     folder, size = "/root/testdata/sf0.001", 50
     if not os.path.isdir(folder):
