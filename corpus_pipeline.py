@@ -29,13 +29,13 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with 8 or more words of a benchmark passage go, even if it is of one item only (operator 2)."""
+    """Documents with a verbatim match of 8 words or a whole shorter item go, even if it is of one item only (operator 2)."""
     return suffix.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and id digests of whole texts, decoded again as a check (operator 1)."""
-    return wfst.tokenised(docs, f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    """Token ids of whole texts, and the texts that they decode to (operator 1)."""
+    return wfst.tokenised(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 STAGES = [
