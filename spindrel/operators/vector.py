@@ -197,9 +197,14 @@ class CellIndex:
     def __init__(self, collection: DataFrame, where: str, settings: IndexSettings | None = None) -> None:
         settings = settings or IndexSettings()
         spark = collection.sparkSession
-        self.settings, self.where, self.dimension = settings, where, dimension_of(collection)
         rows = collection.select("product_id", F.col("vector").cast("array<double>").alias("vector"))
-        self.cells = min(settings.sample, settings.cells or math.ceil(math.sqrt(rows.count())))
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
+        if not seen["n"]:
+            raise EmptyCollectionError("the collection has no rows")
+        if seen["low"] != seen["high"] or seen["low"] < 1:
+            raise StoreError("vectors are missing or differ in dimension")
+        self.settings, self.where, self.dimension = settings, where, seen["low"]
+        self.cells = min(settings.sample, settings.cells or math.ceil(math.sqrt(seen["n"])))
         sample = rows.withColumn("h", F.md5(F.col("product_id").cast("string"))).orderBy("h", "product_id").limit(self.cells).collect()
         self.pivots = np.array([r["vector"] for r in sample], float)
         self.cells = len(self.pivots)
