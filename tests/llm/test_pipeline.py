@@ -49,3 +49,23 @@ def test_query(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(frame.columns)
     assert rows_of(frame, *names) == sorted(want.fetchall(), key=repr)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows and ids, and columns whose names the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, set_key string, _sha string, hash int, score string, row int"
+    words = " ".join(f"word{i}" for i in range(300))
+    rows = [(None, None, None, None, None), (1, None, None, "s", 0), (1, "", "en", None, None), (2, words, "en", "s", 9), (2, words, "en", "s", 9), (3, words + " more", "en", "s", 9), (3, "other text", None, "s", 9), (None, words, "en", "s", 9), (4, "x " * 200_000, "en", "s", 9)]
+    frame = spark.createDataFrame([(*r, "a", "b", 1, "c", 2) for r in rows], schema)
+    for docs in (frame, frame.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, FOLDER)
+            n = out.count()
+            assert n <= docs.count(), name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+    ids = lambda stage: sorted((r["doc_id"] or 0) for r in corpus_pipeline.STAGES[stage][1](spark, frame, FOLDER).collect())
+    # exact: one row of each text, and rows without an id; near copies: rows without an id stay, the later ids go
+    assert ids(1) == [0, 0, 1, 2, 3, 3, 4]
+    assert ids(2) == [0, 0, 1, 1, 2, 2, 4]
+    assert ids(3) == sorted((r[0] or 0) for r in rows)
