@@ -1,4 +1,4 @@
-"""python -m spindrel doctor | list | run | latency | search | deliver | experiment | events | ingest, with --folder FOLDER"""
+"""python -m spindrel COMMAND, one of COMMANDS: on the tables in --folder, or a collection in --store."""
 
 from __future__ import annotations
 
@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from spindrel.config import from_environment
 from spindrel.operators import changes as log
+from spindrel.operators.artifacts import DUPLICATE_CONTRACT
 from spindrel.operators.collection import Collections
 from spindrel.operators.encoding import HashingEncoder
 from spindrel.operators.evaluation import environment, latency, measure
 from spindrel.operators.retrieval import live_retriever
 from spindrel.plans import changes, registry, retrieval
 from spindrel.session import local_session, table
-from spindrel.sources.catalog import checksums, integrity, load_manifest, write_experiments
+from spindrel.sources.catalog import checksums, integrity, load_manifest, write_csv, write_experiments
+from spindrel.workspace import staged
 
-COMMANDS = ("doctor", "list", "run", "latency", "ingest", "search", "deliver", "experiment", "events")
+COMMANDS = ("doctor", "list", "run", "latency", "ingest", "verify", "search", "evaluate", "calibrate", "predict", "deliver", "experiment", "events")
 
 
 def _arguments(arguments: list[str] | None) -> argparse.Namespace:
@@ -29,9 +31,11 @@ def _arguments(arguments: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--store", help="the folder of collections")
     parser.add_argument("--brand")
     parser.add_argument("--top", type=int, default=10)
+    parser.add_argument("--expected", type=int, help="rows that the collection must have")
+    parser.add_argument("--sweep", action="store_true", help="evaluate several numbers of visited cells, too")
     parser.add_argument("--twice", action="store_true", help="apply the events twice")
     asked = parser.parse_args(arguments)
-    needs = {"run": ["name", "folder"], "latency": ["name", "folder"], "ingest": ["folder", "store"], "search": ["name", "store"], "deliver": ["folder", "out"], "experiment": ["folder", "out"], "events": ["folder"]}
+    needs = {"run": ["name", "folder"], "latency": ["name", "folder"], "ingest": ["folder", "store"], "verify": ["store"], "search": ["name", "store"], "evaluate": ["folder"], "calibrate": ["folder"], "predict": ["folder", "out"], "deliver": ["folder", "out"], "experiment": ["folder", "out"], "events": ["folder"]}
     lacking = [x for x in needs.get(asked.command, []) if not getattr(asked, x)]
     if lacking or (asked.command in ("run", "latency") and asked.name not in registry.QUERIES):
         parser.error(f"{asked.command} needs {', '.join(lacking) or 'a known query'}")
@@ -60,8 +64,21 @@ def main(arguments: list[str] | None = None) -> int:
     elif asked.command == "ingest":
         rows = table(spark, folder, "documents").select(F.col("doc_id").alias("product_id"), F.col("lang").alias("brand"), "text")
         Collections(spark, asked.store, settings).ingest(rows, encoder).show(truncate=False)
+    elif asked.command == "verify":
+        stored = Collections(spark, asked.store, settings)
+        stored.verify(stored.read().count() if asked.expected is None else asked.expected, encoder.dimension).show(truncate=False)
     elif asked.command == "search":
         live_retriever(Collections(spark, asked.store, settings), encoder, settings.model).search(asked.name, asked.top, asked.brand).show(asked.top, truncate=60)
+    elif asked.command == "evaluate":
+        for name in ("macro_metrics", "ann_fidelity", "compliance_summary") + ("nprobe_sweep",) * asked.sweep:
+            registry.QUERIES[name](spark, folder).show(50, truncate=False)
+    elif asked.command == "calibrate":
+        for name in ("dup_class_stats", "dup_threshold"):
+            registry.QUERIES[name](spark, folder).show(truncate=False)
+    elif asked.command == "predict":
+        rows = staged(registry.QUERIES["duplicate_artifact_rows"](spark, folder), "predicted")
+        write_csv(rows, asked.out, DUPLICATE_CONTRACT)
+        rows.show(truncate=False)
     elif asked.command == "deliver":
         retrieval.deliver(spark, folder, asked.out).show(truncate=False)
     elif asked.command == "experiment":

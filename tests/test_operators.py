@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import re
 import uuid
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from spindrel.__main__ import main as command_line
 from spindrel.config import IndexSettings, Settings, check_name, frozen
 from spindrel.errors import CompositionError, ConfigurationError, ContractError, DataIntegrityError, DuplicateError, EmptyCollectionError, EncodingError, EventError, MetricError, StoreError
 from spindrel.functions import scalars as S
@@ -411,3 +413,32 @@ def test_settings(monkeypatch):
 def test_latency_interpolates(spark):
     row = evaluation.latency(spark.createDataFrame([(float(i),) for i in range(10)], "ms double"), "ms").first()
     assert math.isclose(row["p95"], np.percentile(range(10), 95))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    folder, store = str(tmp_path / "tables"), str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, "red shoe", "en"), (2, "blue hat", "fr"), (3, "blue shoe", "en")], "doc_id long, text string, lang string")
+    rows.write.parquet(f"{folder}/documents.parquet")
+    for bad in (["verify"], ["predict", "--folder", folder], ["run", "no_such", "--folder", folder]):
+        with pytest.raises(SystemExit):
+            command_line(bad)
+    assert command_line(["list"]) == 0 and "exact_topk" in capsys.readouterr().out
+    assert command_line(["ingest", "--folder", folder, "--store", store]) == 0
+    assert command_line(["verify", "--store", store, "--expected", "3"]) == 0
+    with pytest.raises(StoreError):
+        command_line(["verify", "--store", store, "--expected", "4"])
+    capsys.readouterr()
+    assert command_line(["search", "blue hat", "--store", store, "--top", "1"]) == 0
+    assert re.search(r"\|\s*2\|\s*1\|", capsys.readouterr().out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test data")
+def test_command_line_on_the_test_data(spark, tmp_path, capsys):
+    folder = ["--folder", "/root/testdata/sf0.001"]
+    assert command_line(["evaluate", *folder]) == 0
+    assert {"mean_ndcg", "fidelity", "n_compliant"} <= set(re.findall(r"\w+", capsys.readouterr().out))
+    assert command_line(["calibrate", *folder]) == 0
+    assert "threshold" in capsys.readouterr().out
+    assert command_line(["predict", *folder, "--out", str(tmp_path / "found")]) == 0
+    found = catalog.read_duplicate_results(spark, str(tmp_path / "found"))
+    assert found.count() == spark.read.parquet(f"{folder[1]}/documents.parquet").where("doc_id % 100 = 0").count()
