@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from spindrel import __version__
 from spindrel.config import from_environment
 from spindrel.operators import changes as log
 from spindrel.operators.artifacts import DUPLICATE_CONTRACT
@@ -19,7 +20,7 @@ from spindrel.session import local_session, table
 from spindrel.sources.catalog import checksums, integrity, load_manifest, write_csv, write_experiments
 from spindrel.workspace import staged
 
-COMMANDS = ("doctor", "list", "run", "latency", "ingest", "verify", "search", "evaluate", "calibrate", "predict", "deliver", "experiment", "events")
+COMMANDS = ("doctor", "list", "run", "latency", "ingest", "verify", "reset", "version", "search", "evaluate", "calibrate", "predict", "deliver", "experiment", "events")
 
 
 def _arguments(arguments: list[str] | None) -> argparse.Namespace:
@@ -32,10 +33,11 @@ def _arguments(arguments: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--brand")
     parser.add_argument("--top", type=int, default=10)
     parser.add_argument("--expected", type=int, help="rows that the collection must have")
+    parser.add_argument("--yes", action="store_true", help="confirm a reset, which the settings must allow, too")
     parser.add_argument("--sweep", action="store_true", help="evaluate several numbers of visited cells, too")
     parser.add_argument("--twice", action="store_true", help="apply the events twice")
     asked = parser.parse_args(arguments)
-    needs = {"run": ["name", "folder"], "latency": ["name", "folder"], "ingest": ["folder", "store"], "verify": ["store"], "search": ["name", "store"], "evaluate": ["folder"], "calibrate": ["folder"], "predict": ["folder", "out"], "deliver": ["folder", "out"], "experiment": ["folder", "out"], "events": ["folder"]}
+    needs = {"run": ["name", "folder"], "latency": ["name", "folder"], "ingest": ["folder", "store"], "verify": ["store"], "reset": ["store"], "search": ["name", "store"], "evaluate": ["folder"], "calibrate": ["folder"], "predict": ["folder", "out"], "deliver": ["folder", "out"], "experiment": ["folder", "out"], "events": ["folder"]}
     lacking = [x for x in needs.get(asked.command, []) if not getattr(asked, x)]
     if lacking or (asked.command in ("run", "latency") and asked.name not in registry.QUERIES):
         parser.error(f"{asked.command} needs {', '.join(lacking) or 'a known query'}")
@@ -47,6 +49,9 @@ def main(arguments: list[str] | None = None) -> int:
     if asked.command == "list":
         print("\n".join(sorted(registry.QUERIES)))
         return 0
+    if asked.command == "version":
+        print(f"spindrel {__version__}")
+        return 0
     spark, settings = local_session(), from_environment()
     folder, encoder = asked.folder, HashingEncoder(settings.dimension)
     if asked.command == "doctor":
@@ -67,6 +72,8 @@ def main(arguments: list[str] | None = None) -> int:
     elif asked.command == "verify":
         stored = Collections(spark, asked.store, settings)
         stored.verify(stored.read().count() if asked.expected is None else asked.expected, encoder.dimension).show(truncate=False)
+    elif asked.command == "reset":
+        Collections(spark, asked.store, settings).reset(asked.yes)
     elif asked.command == "search":
         live_retriever(Collections(spark, asked.store, settings), encoder, settings.model).search(asked.name, asked.top, asked.brand).show(asked.top, truncate=60)
     elif asked.command == "evaluate":

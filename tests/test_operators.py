@@ -415,7 +415,7 @@ def test_latency_interpolates(spark):
     assert math.isclose(row["p95"], np.percentile(range(10), 95))
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     folder, store = str(tmp_path / "tables"), str(tmp_path / "store")
     rows = spark.createDataFrame([(1, "red shoe", "en"), (2, "blue hat", "fr"), (3, "blue shoe", "en")], "doc_id long, text string, lang string")
     rows.write.parquet(f"{folder}/documents.parquet")
@@ -430,6 +430,14 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert command_line(["search", "blue hat", "--store", store, "--top", "1"]) == 0
     assert re.search(r"\|\s*2\|\s*1\|", capsys.readouterr().out)
+    with pytest.raises(StoreError):
+        command_line(["reset", "--store", store, "--yes"])
+    monkeypatch.setenv("SPINDREL_ALLOW_RESET", "true")
+    with pytest.raises(StoreError):
+        command_line(["reset", "--store", store])
+    assert command_line(["reset", "--store", store, "--yes"]) == 0
+    assert not collection.Collections(spark, store, Settings()).exists()
+    assert command_line(["version"]) == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test data")
