@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.workspace import BROADCAST_ROWS, remove, scratch, shared_dir, small_or_shuffled, staged
+from spindrel.workspace import BROADCAST_ROWS, in_few_files, remove, scratch, shared_dir, small_or_shuffled, staged
 
 __all__ = ["BROADCAST_ROWS", "remove", "scratch", "shared_dir", "small_or_shuffled", "staged"]
 
@@ -22,6 +22,8 @@ __all__ = ["BROADCAST_ROWS", "remove", "scratch", "shared_dir", "small_or_shuffl
 HOT_SHARE = 1000
 #: White space of every contract: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: What operators hold in a Python worker from task to task. Workers outlive operators.
+HELD: list[dict] = []
 
 
 @contextlib.contextmanager
@@ -65,8 +67,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def release() -> None:
-    """Gives freed memory of a Python worker back, at the end of a task: workers live on, and share an executor's limit."""
+def release(own: dict | None = None) -> None:
+    """Gives memory of a Python worker back, at the end of a task: workers live on, and share an executor's limit.
+
+    What other operators hold from task to task goes too; own is what the caller holds.
+    """
+    for held in HELD:
+        if held is not own:
+            held.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -92,18 +100,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long")
     now, path = _written(pairs.distinct(), name)
     while not _stars(now):
+        total = now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")).withColumn("m", F.least("a", "m"))
-        least, least_path = _written(least, name)
-        total = now.count()
+        least, least_path = _written(least, name, 2 * total)
         # Large star: each larger neighbour of a node is joined with the node's least neighbour.
         large = attach(both.where("b > a"), least, "a", "size", max(1, 2 * total)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large, large_path = _written(large, name)
+        large, large_path = _written(large, name, 2 * total)
         # Small star: each smaller neighbour, and the node itself, is joined with the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size"))
-        low, low_path = _written(low, name)
+        low, low_path = _written(low, name, 2 * total)
         step = attach(large, low, "a", "size", max(1, total)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now, after = _written(step.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        now, after = _written(step.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name, 4 * total)
         for x in (path, least_path, large_path, low_path):
             remove(spark, x)
         path = after
@@ -116,9 +124,9 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)").isEmpty()
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
     where = scratch(df.sparkSession, name)
-    df.write.parquet(where)
+    (df if rows is None else in_few_files(df, rows)).write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where), where
 
 

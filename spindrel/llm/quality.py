@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.llm import words as W
-from spindrel.llm.common import slices, staged, text_bytes
+from spindrel.llm.common import release, slices, staged, text_bytes
 
 #: The model is fitted on at most this many labelled documents, those with the least hash of doc_id, and on as many of
 #: them as have features of so many bytes together.
@@ -134,6 +134,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slots.append(slot.astype(np.int32).tobytes())
                 values.append((SCALE * count / max(1, b - a)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "order", "label")), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "order", "label", "slots", "values"])
+    release()
 
 
 def held_out(doc_id):

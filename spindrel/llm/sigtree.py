@@ -429,8 +429,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = postings.repartition(buckets, "bucket").mapInArrow(_candidates(percent), "a long, b long, needed long, seen long")
     edges = pairs.groupBy("a", "b").agg(F.min("needed").alias("needed"), F.sum("seen").alias("seen")).where("seen >= needed").select("a", "b")
     blocks = components(edges, "blocks")
-    classes = staged(slim.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("nameless").alias("nameless"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
-    live = staged(classes.join(blocks.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "nameless", "n", "root"), "live")
+    classes = staged(slim.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("nameless").alias("nameless"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes", rows)
+    live = staged(classes.join(blocks.withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "nameless", "n", "root"), "live", rows)
 
     def sets(spots: DataFrame, rows: int) -> DataFrame:
         columns = ["text", "set_key", "root", "chunk"]
@@ -441,11 +441,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return found.mapInArrow(_full_sets(size), "set_key long, root long, chunk long, tokens binary")
 
     links = block_links(live.withColumnRenamed("least", "doc_id"), ["doc_id", "nameless"], sets, percent)
-    grouped = staged(classes.join(components(links, "links").withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "root"), "grouped")
+    grouped = staged(classes.join(components(links, "links").withColumnRenamed("node", "set_key"), "set_key").select("set_key", "least", "root"), "grouped", rows)
     heads = grouped.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("members"))
     total = grouped.count()
-    found = attach(grouped.select("set_key", "root"), staged(heads, "heads"), "root", "members", max(1, total)).select("set_key", "head")
-    named = staged(classes.join(found, "set_key", "left").select("set_key", "copies", F.coalesce("head", "least").alias("component_id")), "named")
+    found = attach(grouped.select("set_key", "root"), staged(heads, "heads", total), "root", "members", max(1, total)).select("set_key", "head")
+    named = staged(classes.join(found, "set_key", "left").select("set_key", "copies", F.coalesce("head", "least").alias("component_id")), "named", rows)
     return attach(slim.where("n > 0"), named, "set_key", "copies", rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -459,17 +459,17 @@ def block_links(live: DataFrame, place: list[str], sets: Callable[[DataFrame, in
     alive = live.count()
     side = min(TILE_MOST, max(TILE_LEAST, alive // 64))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(101 / percent)))).cast("long")  # a bit wide: rounding
-    per_root = staged(live.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")), "roots")
+    per_root = staged(live.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")), "roots", alive)
     large = (F.col("members") > side) | (F.col("tokens") > TILE_TOKENS)
     packs = max(1, alive // side + int(live.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // TILE_TOKENS))
     placed = attach(live, per_root, "root", "members", max(1, alive)).withColumns({"large": large, "band": band})
     # A large block is cut by size band, and a band with many sets by hash; only neighbouring bands can link.
     bands = placed.where("large").groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / side), F.ceil(F.sum("n") / TILE_TOKENS)).alias("parts"))
-    bands = staged(bands, "bands")
+    bands = staged(bands, "bands", alive)
     cuts = placed.where("large").join(small_or_shuffled(bands), ["root", "band"]).withColumn("chunk", F.xxhash64("root", "band", F.pmod(F.xxhash64("set_key"), F.col("parts"))))
     whole = placed.where("not large").withColumn("chunk", F.pmod(F.xxhash64("root"), F.lit(packs)))
     columns = ["set_key", *place, "root", "chunk"]
-    spots = staged(whole.select(*columns).unionByName(cuts.select(*columns)), "spots")
+    spots = staged(whole.select(*columns).unionByName(cuts.select(*columns)), "spots", alive)
     pieces = bands.select("root", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("root", "band", F.xxhash64("root", "band", F.col("part").cast("long")).alias("chunk"))
     other = pieces.select("root", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
     across = pieces.join(other, "root").where("abs(band - band2) <= 1 and chunk < chunk2").select("chunk", "chunk2")

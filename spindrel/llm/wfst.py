@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.common import release, slices, text_bytes
+from spindrel.llm.common import HELD, release, slices, text_bytes
 
 SPACE = "▁"
 #: Words that a task remembers; the table is emptied when it is full.
@@ -450,6 +450,7 @@ class Grid:
 
 #: Compiled models of this worker by digest; their tables of words and pairs serve all its tasks.
 _machines: dict[str, Machine] = {}
+HELD.append(_machines)
 
 
 def machine_of(data: bytes) -> Machine:
@@ -460,6 +461,11 @@ def machine_of(data: bytes) -> Machine:
     return _machines[digest]
 
 
+def _release() -> None:
+    """A function of the module, which tasks get by its name: what they close over are copies."""
+    release(_machines)
+
+
 def compile_model(data: bytes) -> Machine:
     """Compiles a SentencePiece model file; user-defined pieces aren't supported."""
     pieces, scores, types = [], [], []
@@ -498,7 +504,7 @@ def _tokenised(shared, with_ids: bool):
                     new += [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([r[0] for r in rows])].astype(np.int32)), flat), pa.array([r[4] for r in rows], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *names])
-        release()
+        _release()
 
     return run
 

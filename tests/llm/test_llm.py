@@ -4,14 +4,17 @@ import collections
 import hashlib
 import itertools
 import os
+import pickle
 import random
 import re
+import types
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from spindrel.llm import common, exact, hostpaths, parminhash, quality, queries, rollup, sigtree, suffix, transcript, warc, wfst, words
@@ -78,6 +81,34 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_steps_of_components_are_written_in_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are: each file costs a task and, on a local disk, processes."""
+    files, remove = [], common.remove
+    monkeypatch.setattr(common, "remove", lambda session, where: (files.append(len(session.read.parquet(where).inputFiles())), remove(session, where)))
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = common.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(7))
+        assert rows_of(found, "node", "root") == sorted(((i, 0) for i in range(301)), key=repr)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) >= 4 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
+@needs_pieces
+def test_other_operators_free_the_model_of_a_worker():
+    with open(PIECES, "rb") as f:
+        shared = types.SimpleNamespace(value=f.read())
+    run = pickle.loads(cloudpickle.dumps(wfst._tokenised(shared, False)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
+    assert len(list(run(iter([batch])))) == 1 and wfst._machines  # stays for the next task of its own
+    list(sigtree._scan(5)(iter([])))
+    assert not wfst._machines
+
+
 # 1
 
 
