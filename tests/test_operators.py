@@ -4,9 +4,12 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import uuid
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -450,3 +453,48 @@ def test_command_line_on_the_test_data(spark, tmp_path, capsys):
     assert command_line(["predict", *folder, "--out", str(tmp_path / "found")]) == 0
     found = catalog.read_duplicate_results(spark, str(tmp_path / "found"))
     assert found.count() == spark.read.parquet(f"{folder[1]}/documents.parquet").where("doc_id % 100 = 0").count()
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kind", ["all", "ties", "brand", "cells"])
+def test_a_task_holds_tiles_of_scores_only(kind):
+    rng, n = np.random.default_rng(1), 10_000
+    ids, matrix = np.arange(4096), rng.normal(size=(4096, 8)) * (kind != "ties")
+    vectors, groups = rng.normal(size=(n, 8)), rng.integers(0, 4, n)
+    brands = [int(i % 4) for i in ids] if kind == "brand" else None
+    cells = np.repeat(np.array([[True, False, False, True], [True, True, True, True]]), 4096, axis=0) if kind == "cells" else None
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(groups), pa.array(list(vectors))], names=["product_id", "group", "vector"])
+    shared = SimpleNamespace(value=(np.tile(ids, 2) if kind == "cells" else ids, brands, matrix, cells))
+    out, peak = peak_mb(lambda: list(vector._local_top(shared, 3, True)(iter([batch]))))
+    assert peak < 150
+    found = pa.Table.from_batches(out).to_pandas().sort_values(["place", "score", "product_id"], ascending=[True, False, True])
+    for place in (0, 5, 4095, 4096, 8191)[: 5 if kind == "cells" else 3]:
+        scores = np.round(vectors @ matrix[place % 4096], 9) + 0.0
+        counts = (np.arange(n) != place % 4096) & (groups == place % 4 if kind == "brand" else cells[place][groups] if kind == "cells" else True)
+        want = [i for i in np.lexsort((np.arange(n), -scores)) if counts[i]][:3]
+        assert found[found["place"] == place]["product_id"].tolist()[:3] == want
+
+
+def test_more_hits_than_a_task_holds_go_on(monkeypatch):
+    monkeypatch.setattr(vector, "HELD", 50)
+    monkeypatch.setattr(vector, "TILE", 20)
+    x = np.arange(300.0)[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.nulls(300, pa.string()), pa.array(list(x))], names=["product_id", "brand", "vector"])
+    out = list(vector._local_top(SimpleNamespace(value=(np.arange(2), None, np.ones((2, 1)), None)), 1000, True)(iter([batch])))
+    assert len(out) > 5 and sorted(zip(*[pa.Table.from_batches(out)[c].to_pylist() for c in ("query_id", "product_id")], strict=True)) == [(q, p) for q in range(2) for p in range(300) if p != q]
+
+
+def test_cells_are_found_by_slices(monkeypatch):
+    pivots, vectors = np.random.default_rng(2).normal(size=(2, 400, 3))
+    want = np.argsort(-np.round(vectors @ pivots.T, 9), axis=1, kind="stable")[:, :5]
+    found, peak = peak_mb(lambda: vector._nearest(np.tile(pivots, (10, 1)), np.tile(vectors, (25, 1)), 1))
+    assert peak < 50 and (found[:400, 0] == want[:, 0]).all()
+    monkeypatch.setattr(vector, "TILE", 1000)
+    assert (vector._nearest(pivots, vectors, 5) == want).all()
