@@ -18,7 +18,7 @@ from spindrel.__main__ import main as command_line
 from spindrel.config import IndexSettings, Settings, check_name, frozen
 from spindrel.errors import CompositionError, ConfigurationError, ContractError, DataIntegrityError, DuplicateError, EmptyCollectionError, EncodingError, EventError, MetricError, StoreError
 from spindrel.functions import scalars as S
-from spindrel.operators import artifacts, attribution, changes, collection, duplicates, evaluation, retrieval, vector
+from spindrel.operators import artifacts, attribution, changes, collection, duplicates, encoding, evaluation, retrieval, vector
 from spindrel.operators.encoding import HashingEncoder, ModelEncoder, cached_encode, encode_role, provenance
 from spindrel.operators.lexical import TfidfIndex
 from spindrel.plans import retrieval as plan
@@ -498,3 +498,10 @@ def test_cells_are_found_by_slices(monkeypatch):
     assert peak < 50 and (found[:400, 0] == want[:, 0]).all()
     monkeypatch.setattr(vector, "TILE", 1000)
     assert (vector._nearest(pivots, vectors, 5) == want).all()
+
+
+def test_texts_are_encoded_by_spans_of_tokens(monkeypatch):
+    monkeypatch.setattr(encoding, "TOKENS", 3)
+    lists = [["a"], [], ["b", "b"], ["c"] * 7, [], ["d", "e"], ["f"], ["g"]]
+    parts = list(encoding.in_spans(pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists)], names=["k", "t"]), 1))
+    assert [p.column(1).to_pylist() for p in parts] == [lists[:3], lists[3:4], lists[4:7], lists[7:]]
