@@ -95,8 +95,10 @@ def macro_of(rankings: DataFrame, counts: DataFrame, k: int = 10, threshold: flo
 
 
 def summary(metrics: DataFrame) -> DataFrame:
-    """query_id and its metrics as one JSON object, to 4 decimals."""
-    return metrics.select("query_id", F.to_json(F.struct(*[F.round(c, 4).alias(c) for c in ("ndcg", "recall", "mrr", "ceiling")], "n_relevant")).alias("summary"))
+    """query_id and its metrics as one JSON object, to 4 decimals: 0.0003, not 3.0E-4."""
+    rounded = lambda c: (F.round(F.col(c) * 10_000.0) / 10_000.0).alias(c)
+    text = F.to_json(F.struct(*[rounded(c) for c in ("ndcg", "recall", "mrr", "ceiling")], "n_relevant"))
+    return metrics.select("query_id", F.regexp_replace(text, r":(-?)([1-9])\.0E-4\b", ":$10.000$2").alias("summary"))
 
 
 def fidelity(engine: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ import tracemalloc
 import uuid
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -505,3 +506,9 @@ def test_texts_are_encoded_by_spans_of_tokens(monkeypatch):
     lists = [["a"], [], ["b", "b"], ["c"] * 7, [], ["d", "e"], ["f"], ["g"]]
     parts = list(encoding.in_spans(pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists)], names=["k", "t"]), 1))
     assert [p.column(1).to_pylist() for p in parts] == [lists[:3], lists[3:4], lists[4:7], lists[7:]]
+
+
+def test_summaries_have_plain_decimals(spark):
+    rows = spark.createDataFrame([(1, 0.071, 0.0003, 1.0, 0.00015, 3082), (2, 0.0, 0.0009, 0.3333, 0.0012, 9)], "query_id long, ndcg double, recall double, mrr double, ceiling double, n_relevant long")
+    want = duckdb.connect().execute("""select '{"ndcg":' || round(0.071::double, 4) || ',"recall":' || round(0.0003::double, 4) || ',"mrr":1.0,"ceiling":' || round(0.00015::double, 4) || ',"n_relevant":3082}'""").fetchone()[0]
+    assert {r["query_id"]: r["summary"] for r in evaluation.summary(rows).collect()} == {1: want, 2: '{"ndcg":0.0,"recall":0.0009,"mrr":0.3333,"ceiling":0.0012,"n_relevant":9}'}
