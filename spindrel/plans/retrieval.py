@@ -95,8 +95,11 @@ def _experiments(spark: SparkSession, sf: str) -> list[attribution.Experiment]:
         return ranked.withColumn("rank", F.row_number().over(vector.Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= K)
 
     def dense(strategy: str, dimension: int) -> DataFrame:
-        vectors = staged(HashingEncoder(dimension).encode(texts[strategy], "product_id", "text"), "experiment-vectors")
-        return vector.exact_topk(vectors.where("product_id % 100 = 0").withColumnRenamed("product_id", "query_id"), vectors, K, skip_self=True)
+        encoded = lambda rows: HashingEncoder(dimension).encode(rows, "product_id", "text")
+        # Equal texts tie, so of each only the least ids can be in a ranking: one more than K, as a query leaves itself out.
+        vectors = staged(encoded(vector.least_of_each(texts[strategy], ["text"], K + 1)), "experiment-vectors")
+        asked = staged(encoded(texts[strategy].where("product_id % 100 = 0")), "experiment-queries").withColumnRenamed("product_id", "query_id")
+        return vector.exact_topk(asked, vectors, K, skip_self=True)
 
     made = lambda name, retriever, strategy, dimension=0: attribution.Experiment(
         name, {"retriever": retriever, "strategy": strategy, "dimension": str(dimension)}, lexical if retriever == "tfidf" else lambda: dense(strategy, dimension)

@@ -566,3 +566,15 @@ def test_common_terms_are_counted_in_tiles():
     scores, peak = peak_mb(lambda: lexical._scores(keys, weights, n, np.arange(n), terms, w))
     places = np.arange(n)
     assert peak < 150 and (scores == (places + 2 * (n + places) + 4 * (2 * n + places))[:, None]).all()
+
+
+def test_experiments_hold_queries_against_the_least_ids_of_equal_texts(spark, monkeypatch, tmp_path):
+    parts = [(i, f"name {'xyz'[i % 3]}", f"B{i % 2}", "T") for i in range(600)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    sizes, real = [], vector.exact_topk
+    monkeypatch.setattr(vector, "exact_topk", lambda q, rows, *a, **b: sizes.append(rows.count()) or real(q, rows, *a, **b))
+    every = spark.read.parquet(f"{tmp_path}/part.parquet").selectExpr("p_partkey AS product_id", "p_name AS text")
+    vectors = HashingEncoder(64).encode(every, "product_id", "text")
+    want = real(vectors.where("product_id % 100 = 0").withColumnRenamed("product_id", "query_id"), vectors, 10, skip_self=True)
+    found = plan._experiments(spark, str(tmp_path))[1].search()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and sizes == [3 * 11]
